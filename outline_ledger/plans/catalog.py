@@ -14,14 +14,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..constants import EXCLUDE_LABELS, QTY_PREFIX, QUANTITY, TOTAL
-from ..functions.scalars import ACCOUNT_HAS_DIGITS, ACCOUNT_SHAPE, pad_account
-from ..operators.measures import keep_rows_with_measures, lift_rows
-from ..operators.outline import (drop_subtotals, exclude_service_rows, infer_quantity_rows,
-                                 mark_missing_label, not_in, outline_paths, trim_after_total)
-from ..operators.stage import stage
-from ..operators.reconcile import AFTER, BEFORE, CLOSE, DIFF, OPEN, TURN, control_row, file_check, nets
-from .derived import MEASURES, REGISTER_ORDER, lineitem_outline_sql, register_views
+from ..functions.scalars import ACCOUNT_HAS_DIGITS, ACCOUNT_SHAPE
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -50,150 +43,12 @@ def sql_is_code(x: str) -> str:
             f"AND regexp_matches({x}, {sql_str(ACCOUNT_HAS_DIGITS)}), false)")
 
 
-W_REG = "PARTITION BY file_name ORDER BY k1, k2, k3, k4, k5"
-DEPTH = 3  # the lineitem register has levels 0..3 by construction
-
-
-def _register(spark: SparkSession, sf_dir: str) -> DataFrame:
-    register_views(spark, sf_dir, ["lineitem"])
-    return spark.sql(lineitem_outline_sql())
-
-
-# ================================================================ outline chain
-def _outline_paths_sql() -> str:
-    lv = ",\n  ".join(
-        f"CASE WHEN level >= {k} THEN last_value(CASE WHEN level = {k} THEN label END IGNORE NULLS) "
-        f"OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END AS Level_{k}"
-        for k in range(DEPTH + 1))
-    return f"""WITH reg AS ({lineitem_outline_sql()})
-SELECT file_name, k1, k2, k3, k4, k5, level, label,
-  {lv}
-FROM reg WINDOW w AS ({W_REG})"""
-
-
-@query("outline_paths", _outline_paths_sql())
-def outline_paths_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O-50 on the lineitem register: every row gets its Level_0..Level_3 path."""
-    reg = _register(spark, sf_dir)
-    out = outline_paths(reg, REGISTER_ORDER, depth=DEPTH)
-    return out.select("file_name", "k1", "k2", "k3", "k4", "k5", "level", "label",
-                      *[f"Level_{k}" for k in range(DEPTH + 1)])
-
-
-def turnover_flatten(reg: DataFrame, order=REGISTER_ORDER, measures=MEASURES, depth=None) -> DataFrame:
-    """The outline chain of a turnover / balance register (P-7 core):
-    O-52, O-22, O-62, O-41, O-51 + O-50, O-53, O-23, O-55, O-15, O-19."""
-    d = stage(infer_quantity_rows(stage(reg, "register"), order), "marked")
-    d = trim_after_total(d, order)
-    d = mark_missing_label(d)
-    d = d.withColumn("label", pad_account("label"))
-    d = outline_paths(d, order, depth=depth,
-                      path_label=F.when(F.col("label") != QUANTITY, F.col("label")))
-    d = lift_rows(stage(d, "paths"), order, measures, offset=1, prefix=QTY_PREFIX,
-                  row_is=F.col("label") == QUANTITY)
-    d = d.where(not_in("label", [QUANTITY]))
-    return stage(d, "lifted")
-
-
-def _leaves_cols(depth=DEPTH):
-    return (["file_name", "k1", "k2", "k3", "k4", "level", "label"]
-            + [f"Level_{k}" for k in range(depth + 1)] + MEASURES + [QTY_PREFIX + m for m in MEASURES])
-
-
-def _outline_leaves_sql() -> str:
-    lv = ",\n  ".join(
-        f"CASE WHEN level >= {k} THEN last_value(CASE WHEN level = {k} AND label <> 'Количество' "
-        f"THEN label END IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END AS Level_{k}"
-        for k in range(DEPTH + 1))
-    lifts = ",\n  ".join(
-        f"CASE WHEN lead(label) OVER w = 'Количество' THEN lead({m}) OVER w END AS \"{QTY_PREFIX}{m}\""
-        for m in MEASURES)
-    any_m = " OR ".join(f"{m} IS NOT NULL" for m in MEASURES)
-    return f"""WITH reg AS ({lineitem_outline_sql()}),
-s1 AS (
-  SELECT *, row_number() OVER w AS rn, lag(level) OVER w AS prev_level FROM reg WINDOW w AS ({W_REG})),
-s2 AS (
-  SELECT * REPLACE (CASE WHEN label IS NULL AND level = prev_level THEN 'Количество' ELSE label END AS label)
-  FROM s1),
-s3 AS (
-  SELECT *, min(CASE WHEN label = 'Итого' THEN rn END) OVER (PARTITION BY file_name) AS first_total FROM s2),
-s4 AS (
-  SELECT * REPLACE (
-    CASE WHEN label IS NULL THEN 'Не_заполнено'
-         WHEN length(label) = 1 AND {sql_is_code('label')} THEN '0' || label ELSE label END AS label)
-  FROM s3
-  WHERE NOT coalesce(label = 'Количество' AND first_total IS NOT NULL AND rn > first_total, false)),
-s5 AS (
-  SELECT *,
-  {lv},
-  {lifts}
-  FROM s4 WINDOW w AS (PARTITION BY file_name ORDER BY rn)),
-s6 AS (SELECT * FROM s5 WHERE label IS NULL OR label <> 'Количество'),
-s7 AS (SELECT *, lead(level) OVER (PARTITION BY file_name ORDER BY rn) AS next_level FROM s6)
-SELECT {", ".join(f'"{c}"' for c in _leaves_cols())}
-FROM s7
-WHERE NOT coalesce(next_level > level AND label IS NOT NULL, false)
-  AND (label IS NULL OR label NOT IN ({sql_list(EXCLUDE_LABELS)}))
-  AND ({any_m})"""
-
-
-@query("outline_leaves", _outline_leaves_sql())
-def outline_leaves_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flagship: flatten the lineitem turnover register to its leaf rows with
-    paths and lifted quantities (O-50..O-55, O-15, O-19, O-22, O-23, O-41)."""
-    reg = _register(spark, sf_dir)
-    d = turnover_flatten(reg, depth=DEPTH)
-    d = drop_subtotals(d, REGISTER_ORDER)
-    d = exclude_service_rows(d)
-    d = keep_rows_with_measures(d, MEASURES)
-    return d.select(*_leaves_cols())
-
-
-def _reconcile_sql() -> str:
-    def net(a, b):
-        return f"coalesce(CAST({a} AS DECIMAL(38,2)), 0) - coalesce(CAST({b} AS DECIMAL(38,2)), 0)"
-
-    def sums(a, b):
-        return (f"coalesce(sum(coalesce(CAST({a} AS DECIMAL(38,2)), 0)), 0) - "
-                f"coalesce(sum(coalesce(CAST({b} AS DECIMAL(38,2)), 0)), 0)")
-    leaves = _outline_leaves_sql()
-    cols = []
-    for stem in (OPEN, TURN, CLOSE):
-        cols += [f'CAST(coalesce(b."{stem}{BEFORE}", 0) AS DECIMAL(38,2)) AS "{stem}{BEFORE}"',
-                 f'CAST(coalesce(a."{stem}{AFTER}", 0) AS DECIMAL(38,2)) AS "{stem}{AFTER}"',
-                 f'CAST(round_even(coalesce(b."{stem}{BEFORE}", 0) - coalesce(a."{stem}{AFTER}", 0), 0) '
-                 f'AS DECIMAL(18,0)) AS "{stem}{DIFF}"']
-    return f"""WITH reg AS ({lineitem_outline_sql()}),
-s1 AS (SELECT *, row_number() OVER w AS rn, lag(level) OVER w AS prev_level FROM reg WINDOW w AS ({W_REG})),
-s2 AS (SELECT * REPLACE (CASE WHEN label IS NULL AND level = prev_level THEN 'Количество' ELSE label END AS label)
-       FROM s1),
-tot AS (SELECT *, row_number() OVER (PARTITION BY file_name ORDER BY rn DESC) AS from_end,
-               count(*) OVER (PARTITION BY file_name) AS n_tot
-        FROM s2 WHERE label = 'Итого'),
-b AS (SELECT file_name,
-        CAST({net('dt_open', 'kt_open')} AS DECIMAL(38,2)) AS "{OPEN}{BEFORE}",
-        CAST({net('dt_turn', 'kt_turn')} AS DECIMAL(38,2)) AS "{TURN}{BEFORE}",
-        CAST({net('dt_close', 'kt_close')} AS DECIMAL(38,2)) AS "{CLOSE}{BEFORE}"
-      FROM tot WHERE from_end = least(2, n_tot)),
-leaves AS ({leaves}),
-a AS (SELECT file_name,
-        CAST({sums('dt_open', 'kt_open')} AS DECIMAL(38,2)) AS "{OPEN}{AFTER}",
-        CAST({sums('dt_turn', 'kt_turn')} AS DECIMAL(38,2)) AS "{TURN}{AFTER}",
-        CAST({sums('dt_close', 'kt_close')} AS DECIMAL(38,2)) AS "{CLOSE}{AFTER}"
-      FROM leaves GROUP BY file_name)
-SELECT {", ".join(cols)}, coalesce(b.file_name, a.file_name) AS "Исх.файл"
-FROM b FULL OUTER JOIN a ON a.file_name = b.file_name"""
-
-
-@query("outline_reconcile", _reconcile_sql())
-def outline_reconcile_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O-56, O-35, O-31, O-70: control totals before vs leaf totals after."""
-    reg = _register(spark, sf_dir)
-    marked = infer_quantity_rows(reg, REGISTER_ORDER)
-    ctl = control_row(marked, REGISTER_ORDER, MEASURES)
-    before = nets(ctl, "file_name", debit_open="dt_open", credit_open="kt_open", debit_turn=["dt_turn"],
-                  credit_turn=["kt_turn"], debit_close="dt_close", credit_close="kt_close", suffix=BEFORE)
-    leaves = outline_leaves_q(spark, sf_dir)
-    after = nets(leaves, "file_name", debit_open="dt_open", credit_open="kt_open", debit_turn=["dt_turn"],
-                 credit_turn=["kt_turn"], debit_close="dt_close", credit_close="kt_close", suffix=AFTER)
-    return file_check(before, after, "file_name")
+
+
+def _load_checks() -> None:
+    """Import the check modules; each registers its queries on import."""
+    from . import checks_outline  # noqa: F401
+    from . import checks_accounts  # noqa: F401
+
+
+_load_checks()
