@@ -69,8 +69,7 @@ def parse_date(col) -> Column:
 
 def parse_number(col, *, default_zero: bool = True, scale: int = 4) -> Column:
     """O-76: text -> decimal; unparsable -> 0 (or null with ``default_zero=False``)."""
-    cleaned = F.regexp_replace(F.regexp_replace(_c(col).cast("string"), r"\s", ""), ",", ".")
-    num = cleaned.try_cast(f"decimal(18,{scale})")
+    num = F.trim(_c(col).cast("string")).try_cast(f"decimal(18,{scale})")
     return F.coalesce(num, F.lit(0).cast(f"decimal(18,{scale})")) if default_zero else num
 
 

@@ -49,6 +49,7 @@ def _load_checks() -> None:
     """Import the check modules; each registers its queries on import."""
     from . import checks_outline  # noqa: F401
     from . import checks_accounts  # noqa: F401
+    from . import checks_journal  # noqa: F401
 
 
 _load_checks()
