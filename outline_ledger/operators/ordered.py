@@ -216,3 +216,26 @@ def last_rows(df: DataFrame, order: RowOrder, n: int, out: str = "__from_end") -
 def file_facts(df: DataFrame, file_col: str, **aggs: Column) -> DataFrame:
     """Small per-file aggregate (max level, header row, ...) to join back."""
     return df.groupBy(file_col).agg(*[c.alias(n) for n, c in aggs.items()])
+
+
+def running(df: DataFrame, out: str, order: RowOrder, expr: Column, how: str = "sum") -> DataFrame:
+    """Running sum / max of ``expr`` from the start of the file up to the row
+    (nulls skipped): local running value per block + the combined value of all
+    earlier blocks (a prefix over the small per-block table)."""
+    d, bn = _add_blocks(df, order)
+    d = d.withColumn("__x", expr)
+    agg = F.sum if how == "sum" else F.max
+    part = [F.col(order.file_col)] + [F.col(b) for b in bn]
+    w = Window.partitionBy(*part).orderBy(*order.order_exprs()) \
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    d = d.withColumn("__loc", agg("__x").over(w))
+    blocks = d.groupBy(order.file_col, *bn).agg(agg("__x").alias("__b"))
+    wb = Window.partitionBy(order.file_col).orderBy(*bn).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("__carry", agg("__b").over(wb)).drop("__b")
+    j = d.join(blocks, on=[order.file_col, *bn], how="left")
+    if how == "sum":
+        val = F.when(F.col("__loc").isNull() & F.col("__carry").isNull(), F.lit(None)) \
+            .otherwise(F.coalesce("__loc", F.lit(0)) + F.coalesce("__carry", F.lit(0)))
+    else:
+        val = F.greatest("__loc", "__carry")
+    return j.withColumn(out, val).drop("__x", "__loc", "__carry", *bn)

@@ -92,3 +92,91 @@ def account_check(before: DataFrame, after: DataFrame, keys: list[str], measures
         out += [b.alias(m + "_base"), a.alias(m + "_current"),
                 F.bround(b - a, 0).cast("decimal(18,0)").alias(diff_names[m])]
     return j.select(*out)
+
+
+def hidden_subtotals(df: DataFrame, order: RowOrder, group: list[str], value: str, *,
+                     tolerance: float = 0.005, out: str = "is_subtotal") -> DataFrame:
+    """O-71: row i (non-null value v_i, in file order within its group) is a
+    hidden subtotal if a run of the following rows adds up to it: scanning
+    j = i+1.. with running sum S, the scan stops at the first S ≥ v_i − tol and
+    the row is a hit iff that S ≤ v_i + tol.  The last row is never a hit.
+
+    With prefix sums P and the running maximum Q of P, the stop index is the
+    first j > i with P_j ≥ T_i = P_i + v_i − tol:
+      * if T_i > Q_i, it is the first j with Q_j ≥ T_i (Q is monotone), found
+        as an as-of lookup: thresholds and Q values are merged in one order and
+        each threshold takes the next Q by a forward fill over the reversed
+        order (block-wise, no pairwise join), and P_j = Q_j there;
+      * otherwise, in a group without negative values, it is j = i + 1;
+      * groups with negative values and such rows are finished per group by a
+        grouped pandas scan (the only per-group step; see README).
+    """
+    from .ordered import ffill, ordinal, running, shift
+    keys = [order.file_col] + group
+    tol = F.lit(tolerance).cast("decimal(20,4)")
+    g = RowOrder("__g", order.order_cols, order.block_cols, order.block_rows)
+    d = df.withColumn("__g", F.to_json(F.struct(*[F.col(k).cast("string") for k in keys]))) \
+        .withColumn("__v", F.col(value).cast("decimal(20,4)"))
+    base = d.where(F.col("__v").isNotNull())
+    base = ordinal(base, "__pos", g)
+    base = running(base, "__P", g, F.col("__v"), "sum")
+    base = running(base, "__Q", g, F.col("__P"), "max")
+    base = shift(base, {"__Pn": (F.col("__P"), 1)}, g)
+    base = base.withColumn("__T", F.col("__P") + F.col("__v") - tol)
+    from .stage import stage
+    base = stage(base, "subtotal-prefix")
+    neg = base.groupBy("__g").agg(F.min("__v").alias("__minv"))
+    base = base.join(neg, on="__g")
+
+    # case A: as-of lookup on Q
+    qa = base.where(F.col("__T") > F.col("__Q")).select(
+        "__g", "__pos", F.col("__T").alias("__key"), F.lit(0).alias("__kind"), F.lit(None).cast("decimal(38,4)")
+        .alias("__pay"), *[F.col(c) for c in order.order_cols])
+    da = base.select("__g", "__pos", F.col("__Q").alias("__key"), F.lit(1).alias("__kind"),
+                     F.col("__Q").cast("decimal(38,4)").alias("__pay"), *[F.col(c) for c in order.order_cols])
+    m = qa.unionByName(da)
+    st = da.groupBy("__g").agg(F.min("__key").alias("__lo"), F.max("__key").alias("__hi"),
+                               F.count(F.lit(1)).alias("__n"))
+    m = m.join(st, on="__g").withColumn(
+        "__w", F.greatest((F.col("__hi") - F.col("__lo")).cast("double") * F.lit(order.block_rows)
+                          / F.col("__n").cast("double"), F.lit(1e-9)))
+    m = m.withColumn("__nk", -F.col("__key")).withColumn("__nkind", -F.col("__kind")) \
+        .withColumn("__npos", -F.col("__pos")) \
+        .withColumn("__blk", F.floor(F.col("__nk").cast("double") / F.col("__w")).cast("long"))
+    rev = RowOrder("__g", ("__nk", "__nkind", "__npos"), ("__blk",))
+    m = ffill(m, {"__next_q": F.col("__pay")}, rev)
+    hit_a = m.where(F.col("__kind") == 0).select("__g", "__pos", F.col("__next_q").alias("__stopP"))
+    a = base.join(hit_a, on=["__g", "__pos"], how="inner") \
+        .where(F.col("__stopP").isNotNull() & ((F.col("__stopP") - F.col("__P")) <= (F.col("__v") + tol))) \
+        .select("__g", "__pos")
+    # case B without negatives: stop at the next row
+    b = base.where((F.col("__T") <= F.col("__Q")) & (F.col("__minv") >= 0) & F.col("__Pn").isNotNull()
+                   & ((F.col("__Pn") - F.col("__P")) <= (F.col("__v") + tol))).select("__g", "__pos")
+    # case B with negatives: exact scan per affected group
+    need = base.where((F.col("__T") <= F.col("__Q")) & (F.col("__minv") < 0)).select("__g").distinct()
+    series = base.join(need, on="__g", how="left_semi").select("__g", "__pos", "__v", "__T", "__Q")
+
+    def scan(pdf):
+        import numpy as np
+        pdf = pdf.sort_values("__pos")
+        v = pdf["__v"].astype(float).to_numpy()
+        pos = pdf["__pos"].to_numpy()
+        t = float(tolerance)
+        hits = []
+        for i in range(len(v) - 1):
+            if not float(pdf["__T"].iloc[i]) <= float(pdf["__Q"].iloc[i]):
+                continue
+            s = np.cumsum(v[i + 1:])
+            stop = np.nonzero(s >= v[i] - t)[0]
+            if stop.size and s[stop[0]] <= v[i] + t:
+                hits.append(pos[i])
+        import pandas as pd
+        return pd.DataFrame({"__g": pd.Series([str(pdf["__g"].iloc[0])] * len(hits), dtype="string"),
+                             "__pos": pd.Series(hits, dtype="int64")})
+    c = series.groupBy("__g").applyInPandas(scan, "__g string, __pos long")
+    hits = a.unionByName(b).unionByName(c).withColumn(out, F.lit(True))
+    res = base.join(hits, on=["__g", "__pos"], how="left")
+    res = res.withColumn(out, F.coalesce(F.col(out), F.lit(False)))
+    drop = ["__g", "__v", "__pos", "__P", "__Q", "__Pn", "__T", "__minv"]
+    nulls = d.where(F.col("__v").isNull()).withColumn(out, F.lit(False))
+    return res.drop(*drop).unionByName(nulls.drop("__g", "__v"))

@@ -222,3 +222,36 @@ def registers_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     register_views(spark, sf_dir, ["supplier", "customer", "orders"])
     u = union_registers([spark.sql(UNION_A), spark.sql(UNION_B), spark.sql(UNION_C)])
     return order_columns(u, ["file_name", "acct", "analytic", "debit_turn", "credit_turn"])
+
+
+# Orders per customer in key order; before every 5th order a subtotal row
+# equal to that order plus the next one (if any) is injected.
+SUBTOTAL_SQL = """
+WITH o AS (
+  SELECT o_custkey, o_orderkey, CAST(o_totalprice AS DECIMAL(18,2)) AS v,
+         lead(CAST(o_totalprice AS DECIMAL(18,2))) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS nv
+  FROM orders)
+SELECT 'analysis_' || CAST(o_custkey % 4 AS STRING) AS file_name, o_custkey, o_orderkey, CAST(1 AS INT) AS k, v
+FROM o
+UNION ALL
+SELECT 'analysis_' || CAST(o_custkey % 4 AS STRING), o_custkey, o_orderkey, CAST(0 AS INT), v + coalesce(nv, 0)
+FROM o WHERE o_orderkey % 5 = 0
+"""
+
+
+@query("hidden_subtotals", f"""WITH s AS ({SUBTOTAL_SQL}),
+p AS (SELECT *, row_number() OVER w AS pos, sum(CAST(v AS DECIMAL(20,4))) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING
+        AND CURRENT ROW) AS P FROM s WINDOW w AS (PARTITION BY file_name, o_custkey ORDER BY o_orderkey, k)),
+j AS (SELECT a.*, (SELECT min(b.pos) FROM p b WHERE b.file_name = a.file_name AND b.o_custkey = a.o_custkey
+                     AND b.pos > a.pos AND b.P >= a.P + a.v - 0.005) AS stop FROM p a)
+SELECT j.file_name, j.o_custkey, j.o_orderkey, j.k, j.v,
+  coalesce((SELECT b.P - j.P <= j.v + 0.005 FROM p b WHERE b.file_name = j.file_name AND b.o_custkey = j.o_custkey
+            AND b.pos = j.stop), false) AS is_subtotal
+FROM j""")
+def hidden_subtotals_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-71: subtotal rows not marked in italics, found from prefix sums."""
+    from ..operators.reconcile import hidden_subtotals
+    register_views(spark, sf_dir, ["orders"])
+    s = spark.sql(SUBTOTAL_SQL)
+    out = hidden_subtotals(s, RowOrder("file_name", ("o_orderkey", "k"), block_rows=4096), ["o_custkey"], "v")
+    return out.select("file_name", "o_custkey", "o_orderkey", "k", "v", "is_subtotal")
