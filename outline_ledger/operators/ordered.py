@@ -115,9 +115,14 @@ def shift(df: DataFrame, specs: dict[str, tuple[Column, int]], order: RowOrder)
     d = d.withColumns(tmp)
     part = [F.col(order.file_col)] + [F.col(b) for b in bn]
     w = Window.partitionBy(*part).orderBy(*order.order_exprs())
-    wc = Window.partitionBy(*part)
-    d = d.withColumn("__rn", F.row_number().over(w)) \
-         .withColumn("__rd", F.count(F.lit(1)).over(wc) - F.col("__rn") + 1)
+    # rows from the block end, exact up to K (capped at K + 1 beyond): read
+    # from lead markers instead of a whole-partition count, so no block is
+    # buffered in full
+    kmax = max(k_lead, k_lag, 1)
+    rd = F.lit(kmax + 1)
+    for j in range(kmax, 0, -1):
+        rd = F.when(F.lead(F.lit(1), j).over(w).isNull(), F.lit(j)).otherwise(rd)
+    d = d.withColumn("__rn", F.row_number().over(w)).withColumn("__rd", rd)
     local = {}
     for i, (name, (_, k)) in enumerate(specs.items()):
         t = f"__sh{i}"
