@@ -51,6 +51,17 @@ def cross_pairs(multi: DataFrame, labels: DataFrame) -> DataFrame:
     return both.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
 
 
+def verified_pairs(pairs: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFrame:
+    """The pairs whose full sets (node, s: array of distinct longs) have a Jaccard similarity
+    of at least ``percent`` hundredths, staged as (a, b)."""
+    both = (pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a")
+            .join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+            .where(100 * F.least(F.size("sa"), F.size("sb")) >= percent * F.greatest(F.size("sa"), F.size("sb"))))
+    inter = F.size(F.array_intersect("sa", "sb"))
+    good = both.where(100 * inter >= percent * (F.size("sa") + F.size("sb") - inter))
+    return stage(good.select("a", "b"), name)
+
+
 def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     """(a, b) -> (node, comp): comp is the smallest node reachable; nodes without an edge are absent.
 

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .line_dedup import dedup_lines
+from .near_dedup import near_duplicates
+from .packing import pack
 from .staging import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,7 +24,19 @@ def query(name: str, oracle: str | None = None):
     return deco
 
 
+@query("op5_minhash_near_dedup")
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents: 3-word shingles, Jaccard 0.85."""
+    return near_duplicates(read_table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
 @query("op8_line_dedup")
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, each text without the lines of which an earlier copy stays elsewhere."""
     return dedup_lines(read_table(spark, sf_dir, "documents"))
+
+
+@query("op9_packing")
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, packed into sequences of 4096 tokens."""
+    return pack(read_table(spark, sf_dir, "documents"))

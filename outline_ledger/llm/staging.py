@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from ..session import ensure_checkpoint_dir
 
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Rows of an Arrow batch: texts may be long, so fewer than Spark's default.
+ARROW_ROWS, ARROW_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", "1000"
 
 
 @contextlib.contextmanager
@@ -42,7 +44,7 @@ def shared_path(spark: SparkSession, name: str) -> str:
 def stage(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
-    with _conf(spark, SHUFFLE_CLEANUP, "true"):
+    with _conf(spark, SHUFFLE_CLEANUP, "true"), _conf(spark, ARROW_ROWS, ARROW_BATCH):
         df.write.mode("overwrite").option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._llm_path = path
