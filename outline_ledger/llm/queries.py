@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .line_dedup import dedup_lines
 from .near_dedup import near_duplicates
 from .packing import pack
 from .staging import read_table
+from .toxicity import score_toxicity, training_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -24,6 +26,15 @@ def query(name: str, oracle: str | None = None):
     return deco
 
 
+@query("op3_toxicity")
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of all documents; rows whose crc32 mod 4 is 2 are held out."""
+    docs = read_table(spark, sf_dir, "documents")
+    scored = score_toxicity(docs, training_rows(docs, read_table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", F.expr("crc32(cast(doc_id AS string)) % 4 = 2").alias("held_out"), "score",
+                         (F.col("score") >= 0.3).cast("int").alias("predicted"), "evidence")
+
+
 @query("op5_minhash_near_dedup")
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents: 3-word shingles, Jaccard 0.85."""
