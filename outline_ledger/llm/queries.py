@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .line_dedup import dedup_lines
+from .lm_scoring import lm_scores
 from .near_dedup import near_duplicates
 from .packing import pack
 from .staging import read_table
@@ -31,10 +32,19 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of all documents; rows whose crc32 mod 4 is 2 are held out."""
     docs = read_table(spark, sf_dir, "documents")
     scored = score_toxicity(docs, training_rows(docs, read_table(spark, sf_dir, "labels")))
-    return scored.select("doc_id", F.expr("crc32(cast(doc_id AS string)) % 4 = 2").alias("held_out"), "score",
+    return scored.select("doc_id", F.expr("coalesce(crc32(cast(doc_id AS string)) % 4 = 2, false)").alias("held_out"), "score",
                          (F.col("score") >= 0.3).cast("int").alias("predicted"), "evidence")
 
 
+@query("op4_lm_scoring")
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log10 probability of all documents; rows whose crc32 mod 5 is 1 are held out."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = lm_scores(docs.withColumn("train", F.expr("crc32(cast(doc_id AS string)) % 5 <> 1")))
+    held_out = F.expr("coalesce(crc32(cast(doc_id AS string)) % 5 = 1, false)").alias("held_out")
+    return scored.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query("op5_minhash_near_dedup")
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents: 3-word shingles, Jaccard 0.85."""

@@ -19,8 +19,7 @@ from pyspark.sql import functions as F
 from ..session import ensure_checkpoint_dir
 
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-#: Rows of an Arrow batch: texts may be long, so fewer than Spark's default.
-ARROW_ROWS, ARROW_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", "1000"
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 @contextlib.contextmanager
@@ -41,10 +40,11 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+def stage(df: DataFrame, name: str, codec: str = "zstd", arrow_rows: int = 1000) -> DataFrame:
+    """``arrow_rows``: rows of an Arrow batch while the table is made; few where rows are large."""
     spark = df.sparkSession
     path = shared_path(spark, name)
-    with _conf(spark, SHUFFLE_CLEANUP, "true"), _conf(spark, ARROW_ROWS, ARROW_BATCH):
+    with _conf(spark, SHUFFLE_CLEANUP, "true"), _conf(spark, ARROW_ROWS, str(arrow_rows)):
         df.write.mode("overwrite").option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._llm_path = path
