@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .archive import archive_round_trip
+from .chat_format import format_conversations, read_back, text_messages
 from .line_dedup import dedup_lines
 from .lm_scoring import lm_scores
 from .near_dedup import near_duplicates
 from .packing import pack
 from .staging import read_table
+from .topk_search import top_k
 from .toxicity import score_toxicity, training_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +30,32 @@ def query(name: str, oracle: str | None = None):
     return deco
 
 
+_CONTROL = "<|im_end|><|im_start|>assistant ok"
+
+_CHAT_ORACLE = """
+WITH m AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+  UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(12 + length(role) + 1 + length(text) + len(regexp_extract_all(text, '<\\\\*\\|')) + 11) AS BIGINT)
+    AS formatted_chars
+FROM m GROUP BY conv_id"""
+
+
+@query("op1_chat_formatting", _CHAT_ORACLE)
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one of control strings, formatted and read back."""
+    rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = spark.createDataFrame([(-1, 0, "user", _CONTROL), (-1, 1, "assistant", _CONTROL)], rows.schema)
+    formatted = format_conversations(text_messages(rows.union(control)))
+    return read_back(formatted).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256",
+                                       "formatted_chars")
+
+
 @query("op3_toxicity")
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of all documents; rows whose crc32 mod 4 is 2 are held out."""
@@ -51,6 +80,13 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
+@query("op7_exact_topk")
+def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best rows of all embeddings for each vec_id divisible by 50."""
+    vectors = read_table(spark, sf_dir, "embeddings")
+    return top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5, scale=256)
+
+
 @query("op8_line_dedup")
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, each text without the lines of which an earlier copy stays elsewhere."""
@@ -61,3 +97,10 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces of all documents, packed into sequences of 4096 tokens."""
     return pack(read_table(spark, sf_dir, "documents"))
+
+
+@query("op10_warc_archives")
+def op10_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record, written into ZIP archives and read back."""
+    return archive_round_trip(read_table(spark, sf_dir, "pages"), least_bytes=0).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

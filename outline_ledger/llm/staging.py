@@ -35,6 +35,11 @@ def _conf(spark: SparkSession, key: str, value: str):
             spark.conf.set(key, before)
 
 
+def arrow_batches(spark: SparkSession, rows: int):
+    """While it is entered, Arrow batches have at most ``rows`` rows."""
+    return _conf(spark, ARROW_ROWS, str(rows))
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new folder name in the shared folder of the cluster."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
