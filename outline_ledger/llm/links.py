@@ -14,7 +14,7 @@ bucket of near copies never yields all its pairs:
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .staging import stage, unstage
@@ -32,10 +32,21 @@ def star_pairs(multi: DataFrame) -> DataFrame:
     return multi.where("node > leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
 
 
-def cross_pairs(multi: DataFrame, labels: DataFrame) -> DataFrame:
+def xor_bits(x: str, y: str, words: int) -> Column:
+    """Population count of the XOR of two bitmaps held in columns ``{x}0``.. and ``{y}0``.."""
+    total = F.lit(0)
+    for i in range(words):
+        total = total + F.bit_count(F.col(f"{x}{i}").bitwiseXOR(F.col(f"{y}{i}")))
+    return total
+
+
+def cross_pairs(multi: DataFrame, labels: DataFrame, sketches: DataFrame, words: int, most: Column) -> DataFrame:
     """Distinct (a, b), a > b, of different components, not yet tried by ``star_pairs``.
 
     ``labels`` (node, comp) holds linked nodes; any other node is a component of its own.
+    ``sketches`` (node, n, s0..) has set sizes and bitmaps of ``words`` longs; the join itself
+    drops pairs whose bitmaps differ in more than ``most`` bits (of columns nx and ny), so
+    members of a bucket that are not similar yield no rows.
     """
     lab = (multi.join(labels, "node", "left")
            .select("key", "node", "leader", F.coalesce("comp", "node").alias("comp")))
@@ -43,11 +54,15 @@ def cross_pairs(multi: DataFrame, labels: DataFrame) -> DataFrame:
     main = (per.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("m"), F.count(F.lit(1)).alias("c"),
                                    F.sum("n").alias("size"))
             .where("c > 1 AND size > 2").select("key", F.col("m.comp").alias("main")))
-    mixed = lab.join(main, "key").where("node > leader")
-    odd = mixed.where("comp <> main").select("key", F.col("node").alias("x"), F.col("comp").alias("xc"))
-    rest = mixed.select("key", F.col("node").alias("y"), F.col("comp").alias("yc"),
-                        (F.col("comp") != F.col("main")).alias("odd"))
-    both = odd.join(rest, "key").where("xc <> yc AND (NOT odd OR x < y)")
+    mixed = lab.join(main, "key").where("node > leader").join(sketches, "node")
+
+    def side(c):
+        return mixed.select(F.col("key").alias(f"{c}k"), F.col("node").alias(c), F.col("comp").alias(f"{c}c"),
+                            (F.col("comp") != F.col("main")).alias(f"{c}o"), F.col("n").alias(f"n{c}"),
+                            *[F.col(f"s{i}").alias(f"{c}s{i}") for i in range(words)])
+
+    both = side("x").where("xo").join(side("y"), F.expr("xk = yk AND xc <> yc AND (NOT yo OR x < y)")
+                                      & (xor_bits("xs", "ys", words) <= most))
     return both.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
 
 
