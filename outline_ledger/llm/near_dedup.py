@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .links import components, cross_pairs, multi_buckets, star_pairs, verified_pairs
+from .links import components, cross_pairs, multi_buckets, star_pairs, verified_pairs, xor_bits
 from .staging import small_side, stage, unstage
 from .words import U, mix, text_slices, word_hashes
 
@@ -85,12 +85,16 @@ def odd_sketch(samples: np.ndarray, bits: int) -> np.ndarray:
 
 
 def max_xor_bits(percent: int, samples: int, bits: int) -> int:
-    """XOR bits that a pair at the threshold exceeds with negligible probability: the
-    differing samples five standard deviations above their mean, then the bits three above."""
+    """XOR bits that a pair at the threshold exceeds with negligible probability: 4.5 standard
+    deviations above the mean; pairs above the threshold have fewer."""
     p = 1 - percent / 100
-    differ = min(samples, samples * p + 5 * math.sqrt(samples * p * (1 - p)) + 1)
-    q = (1 - (1 - 2 / bits) ** (2 * differ)) / 2
-    return math.ceil(bits * q + 3 * math.sqrt(bits * q * (1 - q)))
+
+    def bits_of(differ):  # each differing sample toggles one bit in each sketch
+        return bits / 2 * (1 - (1 - 2 / bits) ** (2 * differ))
+
+    mean, sd = samples * p, math.sqrt(samples * p * (1 - p))
+    spread = math.hypot(bits_of(mean + sd) - bits_of(mean), math.sqrt(bits_of(mean) * bits_of(mean) / bits) + 1)
+    return math.ceil(bits_of(mean) + 4.5 * spread)
 
 
 def _lists(a: np.ndarray) -> pa.Array:
@@ -142,30 +146,37 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     classes = stage(sig.where("n_shingles > 0").groupBy("n_shingles", "d1", "d2")
                     .agg(F.min("doc_id").alias("node")).where("node IS NOT NULL"), "near-classes")
     reps = stage(sig.join(classes.withColumnRenamed("node", "doc_id"), ["n_shingles", "d1", "d2", "doc_id"])
-                 .select(F.col("doc_id").alias("node"), "bands", "sketch"), "near-representatives")
+                 .select(F.col("doc_id").alias("node"), "n_shingles", "bands", "sketch"), "near-representatives")
     multi = stage(multi_buckets(reps.select("node", F.explode("bands").alias("key"))), "near-buckets")
-    sketches = reps.select("node", "sketch")
-    bound = max_xor_bits(percent, bands * rows, bits)
-
-    def close(pairs: DataFrame) -> DataFrame:
-        both = (pairs.join(sketches.toDF("a", "sa"), "a").join(sketches.toDF("b", "sb"), "b"))
-        xor = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0),
-                          lambda s, x: s + x)
-        return stage(both.where(xor <= bound).select("a", "b").distinct(), "near-pairs")
+    words, samples = bits // 64, bands * rows
+    sketches = reps.select("node", F.col("n_shingles").alias("n"),
+                           *[F.get("sketch", F.lit(i)).alias(f"s{i}") for i in range(words)])
+    bound = max_xor_bits(percent, samples, bits)
+    # sets of too different sizes cannot reach the threshold
+    most = F.when(100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"), bound).otherwise(-1)
+
+    def close_stars() -> DataFrame:
+        def side(c):
+            return sketches.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"),
+                                   *[F.col(f"s{i}").alias(f"{c}s{i}") for i in range(words)])
+        pairs = star_pairs(multi).toDF("x", "y")
+        return (pairs.join(side("x"), "x").join(side("y"), "y").where(xor_bits("xs", "ys", words) <= most)
+                .select(F.col("x").alias("a"), F.col("y").alias("b")))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
+        pairs = stage(pairs, "near-pairs")
         nodes = stage(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "near-nodes")
         sets = stage(_sets(docs.select("doc_id", "text").join(small_side(nodes), "doc_id", "left_semi"), k),
                      "near-sets")
-        links = verified_pairs(pairs, sets, percent, "near-links").distinct()
-        unstage(nodes, sets)
+        links = verified_pairs(pairs, sets, percent, "near-links")
+        unstage(pairs, nodes, sets)
         return links
 
-    links = confirmed(close(star_pairs(multi)))
+    links = confirmed(close_stars())
     labels = stage(components(links, "near-cc"), "near-labels")
-    more = close(cross_pairs(multi, labels))
+    more = confirmed(cross_pairs(multi, labels, sketches, words, most))
     if more.limit(1).count():
-        labels = stage(components(links.union(confirmed(more)), "near-cc"), "near-labels")
+        labels = stage(components(links.union(more), "near-cc"), "near-labels")
     named = (classes.join(labels, "node", "left")
              .select("n_shingles", "d1", "d2", F.coalesce("comp", "node").alias("component_id")))
     rows_ = sig.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("d1"))
