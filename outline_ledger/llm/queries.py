@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .archive import archive_round_trip
 from .chat_format import format_conversations, read_back, text_messages
+from .html_extract import extract_text
 from .line_dedup import dedup_lines
 from .lm_scoring import lm_scores
 from .near_dedup import near_duplicates
@@ -56,6 +57,12 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
                                        "formatted_chars")
 
 
+@query("op2_html_extraction")
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages."""
+    return extract_text(read_table(spark, sf_dir, "pages"))
+
+
 @query("op3_toxicity")
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of all documents; rows whose crc32 mod 4 is 2 are held out."""
