@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .archive import archive_round_trip
 from .chat_format import format_conversations, read_back, text_messages
+from .decontam import find_leaks
 from .html_extract import extract_text
 from .line_dedup import dedup_lines
 from .lm_scoring import lm_scores
@@ -87,6 +88,12 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
+@query("op6_benchmark_decontamination")
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the benchmark item they leak, if any."""
+    return find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 @query("op7_exact_topk")
 def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 best rows of all embeddings for each vec_id divisible by 50."""

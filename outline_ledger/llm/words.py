@@ -28,6 +28,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+# with ``plain`` words, ASCII punctuation separates words as white space does
+_SEP = _WS.copy()
+_SEP[[c for c in range(0x21, 0x7F) if not chr(c).isalnum()]] = True
+
+
 def _table(seed: int) -> np.ndarray:
     t = mix(np.arange(1, 257, dtype=U) * U(2 * seed + 1) + U(seed))
     t[65:91] = t[97:123]
@@ -68,9 +73,9 @@ def text_slices(column, slice_bytes: int = SLICE_BYTES):
         lo = hi
 
 
-def word_spans(buf: np.ndarray, rows: np.ndarray):
-    """(word starts, position of each byte in its word, words before each row)."""
-    live = ~_WS[buf]
+def word_spans(buf: np.ndarray, rows: np.ndarray, plain: bool = False):
+    """(bytes in words, bytes that start one, their places, words before each row)."""
+    live = ~(_SEP if plain else _WS)[buf]
     begin = live.copy()
     begin[1:] &= ~live[:-1]
     first = rows[:-1]
@@ -80,13 +85,13 @@ def word_spans(buf: np.ndarray, rows: np.ndarray):
     return live, begin, starts, np.searchsorted(starts, rows)
 
 
-def word_hashes(buf: np.ndarray, rows: np.ndarray, prefixes: tuple[int, ...] = ()):
+def word_hashes(buf: np.ndarray, rows: np.ndarray, prefixes: tuple[int, ...] = (), plain: bool = False):
     """Hashes of all words of the rows in ``buf`` and the index of each row's first word.
 
     With ``prefixes``, also the hash of each word's first p bytes, one array for each p
     (0 where the word is not longer than p bytes).
     """
-    live, begin, starts, at = word_spans(buf, rows)
+    live, begin, starts, at = word_spans(buf, rows, plain)
     if not len(starts):
         z = np.zeros(0, U)
         return (z, at, *[z for _ in prefixes])
@@ -97,6 +102,8 @@ def word_hashes(buf: np.ndarray, rows: np.ndarray, prefixes: tuple[int, ...] = (
     p1, p2 = _powers(longest + 1)
     b = buf[s0:]
     v1, v2 = _T1[b] * p1[pos], _T2[b] * p2[pos]
+    if plain:
+        v1, v2 = v1 * live[s0:], v2 * live[s0:]
     cut = starts - s0
     out = mix(np.add.reduceat(v1, cut) ^ mix(np.add.reduceat(v2, cut)))
     more = []
