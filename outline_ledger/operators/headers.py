@@ -5,8 +5,7 @@ normalised form of every register (see ``sources``).  This module:
 
 * O-1 classifies each file's dialect from its first rows (rule table joined on
   the requested kind, broadcast: it has 12 rows);
-* O-2 finds the header row by keyword; O-3/O-4/O-5/O-8 name the columns from
-  it (left-neighbour names, currency twins); O-6 flattens two-row headers;
+* O-2 finds the header row by keyword; O-3/O-4 name the columns from it;
 * O-9 turns file-level failures into quarantine rows;
 * O-10 orders output columns; O-65 unions registers by name.
 
@@ -17,6 +16,7 @@ and joined back by ``file_name``; data rows are never collected.
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -61,45 +61,40 @@ def union_registers(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _numbered(col: str, prefix: str) -> int | None:
-    m = re.fullmatch(re.escape(prefix) + r"(\d+)", col)
-    return int(m.group(1)) if m else None
+# the groups of output columns, in output order
+_GROUPS = ("fixed", "family", "contra", "other")
+_FAMILY = re.compile("(" + "|".join(map(re.escape, COLUMN_PREFIXES)) + r")(\d*)")
+_CONTRA = re.compile(rf"({'|'.join(map(re.escape, MEASURE_PREFIXES))}|)(\d+(?:\.\d+)?)?\.?([^_]*)(_до|_ко)")
+
+
+@dataclass(frozen=True, order=True)
+class ColumnPlace:
+    """Where a column goes: its group, then what orders columns within the group."""
+
+    group: int
+    major: int = 0
+    number: float = 0
+    text: str = ""
+    minor: int = 0
+
+    @classmethod
+    def of(cls, name: str, position: int, desired: list[str]) -> ColumnPlace:
+        if m := _FAMILY.fullmatch(name):
+            return cls(_GROUPS.index("family"), COLUMN_PREFIXES.index(m[1]), float(m[2] or "inf"), name)
+        if name in desired:
+            return cls(_GROUPS.index("fixed"), desired.index(name))
+        if m := _CONTRA.fullmatch(name):
+            measure = (*("",), *MEASURE_PREFIXES).index(m[1])
+            return cls(_GROUPS.index("contra"), measure, float(m[2] or "inf"), m[3], m[4] == "_ко")
+        return cls(_GROUPS.index("other"), position)
 
 
 def column_order(cols: list[str], desired: list[str]) -> list[str]:
-    """O-10: fixed names first (those present), then numbered families in
-    prefix order by number, then contra-account measure columns
-    ``[Количество_|ВалютнаяСумма_]<account>_до|_ко`` by (prefix, number,
-    letters, до before ко), then everything else in input order.  Unlike the
-    source, the longest measure prefix is tried first, a family member without
-    a number sorts last instead of failing, and leftovers keep input order."""
-    present = set(cols)
-    fixed = [c for c in desired if c in present and not c.startswith(COLUMN_PREFIXES)]
-    fams = []
-    for p in COLUMN_PREFIXES:
-        members = [c for c in cols if c.startswith(p)]
-        fams += sorted(members, key=lambda c: (_numbered(c, p) is None, _numbered(c, p) or 0, c))
-
-    def contra_key(c: str):
-        prefix_rank = 0
-        rest = c
-        for i, sp in enumerate(sorted(MEASURE_PREFIXES, key=len, reverse=True)):
-            if c.startswith(sp):
-                prefix_rank, rest = MEASURE_PREFIXES.index(sp) + 1, c[len(sp):]
-                break
-        for suf_rank, suf in enumerate(("_до", "_ко")):
-            if rest.endswith(suf):
-                num = rest[:-len(suf)]
-                m = re.fullmatch(r"(\d+(?:\.\d+)?)(?:\.([А-ЯЁ]+))?", num)
-                number = float(m.group(1)) if m else float("inf")
-                letters = (m.group(2) or "") if m else ""
-                return (prefix_rank, number, letters, suf_rank)
-        return None
-    taken = set(fixed) | set(fams)
-    contra = sorted([c for c in cols if c not in taken and contra_key(c) is not None], key=contra_key)
-    taken |= set(contra)
-    rest = [c for c in cols if c not in taken]
-    return fixed + fams + contra + rest
+    """O-10: the fixed names that are present, the numbered families by number (a
+    member without a number last), contra-account columns by measure, account
+    number, account letters and side (debit first), then the rest as they came."""
+    places = {c: ColumnPlace.of(c, i, desired) for i, c in enumerate(cols)}
+    return sorted(cols, key=places.__getitem__)
 
 
 def order_columns(df: DataFrame, desired: list[str]) -> DataFrame:
