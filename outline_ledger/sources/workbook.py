@@ -13,16 +13,22 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+from datetime import datetime, timedelta
+from decimal import Decimal
 from xml.etree import ElementTree as ET
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
+from ..constants import OUTLINE_HEADER_SCAN_ROWS, REGISTER_RULES
+
 RAW_SCHEMA = "file_name string, row_no long, level int, italic boolean, cells array<string>"
 NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 RNS = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 # --- fixed values: titles of the contra-account column that carries italics -----
 ITALIC_TITLES = ("Кор. Счет", "Кор.счет")
+# built-in number formats of dates and times
+DATE_FORMATS = frozenset([*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)])
 BATCH_ROWS = 50_000
 
 
@@ -49,7 +55,7 @@ def _shared_strings(z):
 
 
 def _styles(z):
-    """xf index -> (italic, number format code)."""
+    """xf index -> (italic, number format code, number is a date)."""
     m = _member(z, "xl/styles.xml")
     if not m:
         return {}
@@ -60,7 +66,8 @@ def _styles(z):
     out = {}
     for i, xf in enumerate(xfs if xfs is not None else []):
         fid = int(xf.get("fontId", 0))
-        out[i] = (fonts[fid] if fid < len(fonts) else False, fmts.get(int(xf.get("numFmtId", 0)), ""))
+        number = int(xf.get("numFmtId", 0))
+        out[i] = (fonts[fid] if fid < len(fonts) else False, fmts.get(number, ""), _is_date(number, fmts.get(number, "")))
     return out
 
 
@@ -86,20 +93,47 @@ def _col_index(ref: str) -> int:
     return n - 1
 
 
-def _number_text(v: str, fmt: str) -> str:
-    """Displayed text of a number: decimals from a '0.00'-style format (keeps
-    60.10), integers without '.0'."""
+def _displayed(v: str, fmt: str) -> str:
+    """A header number as it is shown: decimals from a '0.00'-style format (keeps 60.10)."""
     m = re.search(r"0\.(0+)", fmt or "")
-    x = float(v)
-    if m:
-        return f"{x:.{len(m.group(1))}f}"
-    return str(int(x)) if x.is_integer() else repr(x)
+    return f"{float(v):.{len(m.group(1))}f}" if m else _stored(v)
+
+
+def _stored(v: str) -> str:
+    """A data number with all its digits, integers without '.0'."""
+    x = Decimal(v)
+    return str(int(x)) if x == x.to_integral_value() else format(x.normalize(), "f")
+
+
+def _is_date(fmt_id: int, fmt: str) -> bool:
+    """Built-in date formats, or a format with date letters outside quotes and brackets."""
+    plain = re.sub(r'"[^"]*"|\[[^\]]*\]|\\.', "", fmt or "").lower()
+    return fmt_id in DATE_FORMATS or bool(re.search(r"[ymdh]", plain.replace("general", "")))
+
+
+def _date_text(v: str, epoch_1904: bool) -> str:
+    """A serial day as 'dd.MM.yyyy HH:mm:ss', the text form that journals use."""
+    start = datetime(1904, 1, 1) if epoch_1904 else datetime(1899, 12, 30)
+    return (start + timedelta(seconds=round(float(v) * 86400))).strftime("%d.%m.%Y %H:%M:%S")
 
 
-def parse_workbook(data: bytes, file_name: str, skip_first: bool = True):
-    """Yield (file_name, row_no, level, italic, cells) for one workbook."""
+def _is_header(cells: list) -> bool:
+    """Whether a row holds all titles of some register's header."""
+    found = {c.strip().lower() for c in cells if c}
+    return any(found.issuperset(titles) for _, _, titles in REGISTER_RULES)
+
+
+def parse_workbook(data: bytes, file_name: str, skip_first: bool = True, scan_rows: int = OUTLINE_HEADER_SCAN_ROWS):
+    """Yield (file_name, row_no, level, italic, cells) for one workbook.
+
+    Data cells keep the stored value, dates become text; only numbers in the
+    header row (account codes such as 60.10) are taken as they are shown.
+    ``scan_rows``: rows searched for the title of the italic column.
+    """
     z = zipfile.ZipFile(io.BytesIO(data))
     strings, styles = _shared_strings(z), _styles(z)
+    book = ET.parse(z.open(_member(z, "xl/workbook.xml"))).getroot().find(NS + "workbookPr")
+    epoch_1904 = book is not None and book.get("date1904") in ("1", "true")
     sheet = _member(z, _active_sheet(z))
     rows = []
     for _, el in ET.iterparse(z.open(sheet)):
@@ -107,10 +141,11 @@ def parse_workbook(data: bytes, file_name: str, skip_first: bool = True):
             continue
         r = int(el.get("r"))
         level = int(el.get("outlineLevel", 0))
-        cells, ital = {}, {}
+        cells, ital, shown = {}, {}, {}
         for c in el.iter(NS + "c"):
             idx = _col_index(c.get("r"))
             t, s = c.get("t"), int(c.get("s", 0))
+            italic, fmt, is_date = styles.get(s, (False, "", False))
             v = c.find(NS + "v")
             if t == "s" and v is not None:
                 text = strings[int(v.text)]
@@ -119,17 +154,22 @@ def parse_workbook(data: bytes, file_name: str, skip_first: bool = True):
             elif t == "b" and v is not None:
                 text = "True" if v.text == "1" else "False"
             elif v is not None and v.text is not None:
-                text = v.text if t in ("str", "e") else _number_text(v.text, styles.get(s, (False, ""))[1])
+                text = v.text if t in ("str", "e", "d") else _date_text(v.text, epoch_1904) if is_date else _stored(v.text)
+                if t not in ("str", "e", "d") and not is_date:
+                    shown[idx] = _displayed(v.text, fmt)
             else:
                 text = None
             cells[idx] = text
-            ital[idx] = styles.get(s, (False, ""))[0]
+            ital[idx] = italic
         el.clear()
         width = max(cells) + 1 if cells else 0
-        rows.append((r, level, [cells.get(i) for i in range(width)], ital))
+        row = [cells.get(i) for i in range(width)]
+        if shown and _is_header(row):
+            row = [shown.get(i, x) for i, x in enumerate(row)]
+        rows.append((r, level, row, ital))
     kor = None
     for r, _, cells, _ in rows:
-        if r > 30:
+        if r > scan_rows:
             break
         for i, c in enumerate(cells):
             if c in ITALIC_TITLES:
@@ -144,13 +184,25 @@ def parse_workbook(data: bytes, file_name: str, skip_first: bool = True):
         yield file_name, r, level, italic, cells
 
 
+def _rows_or_reason(data: bytes, name: str, skip_first: bool):
+    try:
+        yield from parse_workbook(data, name, skip_first)
+    except (zipfile.BadZipFile, ET.ParseError, KeyError, ValueError, TypeError, AttributeError, IndexError) as e:
+        yield name, 0, 0, False, [f"{type(e).__name__}: {e}"]
+
+
+def unreadable(raw: DataFrame) -> DataFrame:
+    """S-9: (file_name, reason) of the files that could not be read."""
+    return raw.where("row_no = 0").selectExpr("file_name", "concat('unreadable workbook: ', cells[0]) AS reason")
+
+
 def _parse_batches(skip_first: bool):
     def run(it):
         for pdf in it:
             for path, content in zip(pdf["path"], pdf["content"]):
                 name = path.rsplit("/", 1)[-1]
                 buf = []
-                for row in parse_workbook(bytes(content), name, skip_first):
+                for row in _rows_or_reason(bytes(content), name, skip_first):
                     buf.append(row)
                     if len(buf) >= BATCH_ROWS:
                         yield pd.DataFrame(buf, columns=["file_name", "row_no", "level", "italic", "cells"])
@@ -162,7 +214,10 @@ def _parse_batches(skip_first: bool):
 
 def read_workbooks(spark: SparkSession, folder: str, *, skip_first: bool = True,
                    glob: str = "*.xlsx") -> DataFrame:
-    """All workbooks of a folder -> raw_rows.  An empty folder is an error."""
+    """All workbooks of a folder -> raw_rows.  A folder without any is an error; a file that is
+    no readable workbook gives one row of row_no 0 whose cell says why, see ``unreadable``."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob) \
         .option("recursiveFileLookup", "false").load(folder).select("path", "content")
+    if not files.inputFiles():
+        raise FileNotFoundError(f"no workbook in {folder}")
     return files.mapInPandas(_parse_batches(skip_first), RAW_SCHEMA)

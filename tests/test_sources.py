@@ -4,6 +4,9 @@ import os
 import tempfile
 import zipfile
 
+import pytest
+
+from outline_ledger.sources import workbook as W
 from outline_ledger.sources.sinks import chunk_numbers, write_register
 from outline_ledger.sources.workbook import read_workbooks
 
@@ -61,7 +64,7 @@ def test_read_workbooks(spark):
     assert got == [
         ("a.xlsx", 2, 0, False, ["Счет", "Кор.счет", "С кред. счетов"]),
         ("a.xlsx", 3, 0, False, ["60", None, "100"]),
-        ("a.xlsx", 4, 1, True, ["60.01", "60.10", "100.5"]),
+        ("a.xlsx", 4, 1, True, ["60.01", "60.1", "100.5"]),
         ("b.xlsx", 2, 2, False, ["x", "7"]),
     ]
 
@@ -74,3 +77,28 @@ def test_sinks_and_chunks(spark):
     assert back.count() == 25 and set(back.columns) == {"id", "file_name"}
     ch = chunk_numbers(df, ["id"], size=10).collect()
     assert {r.id: r.chunk for r in ch} == {i: i // 10 + 1 for i in range(25)}
+
+
+def test_data_keeps_digits_and_dates(spark):
+    d = tempfile.mkdtemp(prefix="wb-")
+    head = ["Субконто", "Нач. сальдо деб.", "Нач. сальдо кред.", "Деб. оборот"]
+    _xlsx(os.path.join(d, "a.xlsx"), [
+        (2, 0, [(h, False, None) for h in head] + [(60.1, False, "0.00")]
+         + [(h, False, None) for h in ("Кред. оборот", "Кон. сальдо деб.", "Кон. сальдо кред.")]),
+        (3, 1, [("x", False, None), (10.005, False, "0.00"), (1.2345, False, "0.00"), (1e-05, False, None)]),
+    ])
+    rows = {r.row_no: r.cells for r in read_workbooks(spark, d).collect()}
+    assert rows[2][4] == "60.10" and rows[3] == ["x", "10.005", "1.2345", "0.00001"]
+    assert W._date_text("45292.5", False) == "01.01.2024 12:00:00"
+    assert W._is_date(14, "") and W._is_date(170, "dd\\.mm\\.yyyy") and not W._is_date(2, "0.00") and not W._is_date(171, '0.00" dm"')
+
+
+def test_bad_and_missing_workbooks(spark):
+    d = tempfile.mkdtemp(prefix="wb-")
+    with pytest.raises(FileNotFoundError):
+        read_workbooks(spark, d)
+    _xlsx(os.path.join(d, "good.xlsx"), [(2, 0, [("x", False, None)])])
+    open(os.path.join(d, "bad.xlsx"), "wb").write(b"no archive")
+    raw = read_workbooks(spark, d)
+    assert [r.file_name for r in W.unreadable(raw).collect()] == ["bad.xlsx"]
+    assert raw.where("row_no > 0").count() == 1
