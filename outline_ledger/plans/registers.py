@@ -1,7 +1,7 @@
-"""Register pipelines over ``raw_rows`` (P-7/P-8 turnover, P-9/P-10 account
-balance share the outline chain; P-11/P-12 general trial balance; P-13 batch
-combine).  Each returns DataFrames for the whole batch of files at once:
-``(flat, check, quarantine)``.
+"""Register pipelines over ``raw_rows``: P-7/P-8 turnover on the outline chain,
+P-11/P-12 general trial balance, P-13 batch combine.  Each works on the whole
+batch of files at once; a file that is rejected is in the quarantine table and
+in no other result.
 """
 
 from __future__ import annotations
@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import (CREDIT_SIDE_SUFFIX, DEBIT_SIDE_SUFFIX, DEBIT_TURN, CREDIT_TURN, DEBIT_CLOSE,
-                         MEASURES, OUTLINE_FILE_COL, QTY_PREFIX, QUANTITY, TURNOVER_NONUPP_RENAME,
+from ..constants import (BALANCE_CLOSE_TITLE, BALANCE_OPEN_TITLE, BALANCE_TURN_TITLE_NONUPP,
+                         BALANCE_TURN_TITLE_UPP, CREDIT_SIDE_SUFFIX, DEBIT_SIDE_SUFFIX, DEBIT_TURN, CREDIT_TURN, DEBIT_CLOSE,
+                         MEASURES, OUTLINE_FILE_COL, OUTLINE_HEADER_SCAN_ROWS, QTY_PREFIX, QUANTITY, TURNOVER_NONUPP_RENAME,
                          TURNOVER_UPP_RENAME)
 from ..functions.scalars import pad_account, parse_number
 from ..operators.accounts import suppression_set
@@ -30,12 +31,13 @@ def _quarantine(df: DataFrame, reason: str) -> DataFrame:
     return df.select("file_name").distinct().withColumn("reason", F.lit(reason))
 
 
-def resolve_outline_header(raw: DataFrame, title: str, rename: dict[str, str]) -> tuple[DataFrame, DataFrame]:
-    """O-2 / O-3 / O-7: header = first row (within 30) holding ``title`` as an
-    exact cell; cells renamed to canonical measures; files without it are
+def resolve_outline_header(raw: DataFrame, title: str, rename: dict[str, str],
+                           scan_rows: int = OUTLINE_HEADER_SCAN_ROWS) -> tuple[DataFrame, DataFrame]:
+    """O-2 / O-3 / O-7: header = first row (within ``scan_rows``) holding ``title``
+    as an exact cell; cells renamed to canonical measures; files without it are
     quarantined."""
     match = F.exists(F.col("cells"), lambda c: F.trim(c) == title)
-    hdr = header_rows(raw, match, scan_rows=30)
+    hdr = header_rows(raw, match, scan_rows=scan_rows)
     mapping = F.create_map(*[x for k, v in rename.items() for x in (F.lit(k), F.lit(v))])
     hdr = hdr.withColumn("header_names", F.transform(
         "header", lambda c: F.coalesce(F.element_at(mapping, F.trim(c)), F.trim(c))))
@@ -55,7 +57,8 @@ def project_measures(raw: DataFrame, hdr: DataFrame, label_title: str) -> DataFr
         return F.when(pos > 0, F.try_element_at(F.col("cells"), pos))
     cols = {LABEL: F.nullif(F.trim(cell(label_title)), F.lit(""))}
     for m in MEASURES:
-        cols[m] = parse_number(F.nullif(F.trim(cell(m)), F.lit("")), default_zero=False, scale=2)
+        # money and quantity rows share these cells: quantities have four digits
+        cols[m] = parse_number(F.nullif(F.trim(cell(m)), F.lit("")), default_zero=False, scale=4)
     return d.select("file_name", "row_no", "level", "italic", "cells", "header_names",
                     *[c.alias(n) for n, c in cols.items()])
 
@@ -76,7 +79,7 @@ def contra_long_raw(rows: DataFrame) -> DataFrame:
         .when((F.col("p") > F.col("i_kt")) & (F.col("p") < F.col("i_end")), F.lit(CREDIT_SIDE_SUFFIX)))
     z = z.where(F.col("side").isNotNull()).select(
         "file_name", "row_no", "side", F.trim(F.col("nv.n")).alias("contra_account"), F.col("p"),
-        parse_number(F.nullif(F.trim(F.col("nv.v")), F.lit("")), default_zero=False, scale=2).alias("value"))
+        parse_number(F.nullif(F.trim(F.col("nv.v")), F.lit("")), default_zero=False, scale=4).alias("value"))
     heads = z.select("file_name", "side", F.col("p").cast("string").alias("pos"), "contra_account").distinct()
     sup = suppression_set(heads, ["file_name", "side"], "pos", "contra_account", add_unpadded=False)
     return z.join(sup, on=["file_name", "side", "contra_account"], how="left_anti") \
@@ -100,18 +103,19 @@ def flatten_outline(rows: DataFrame, order: RowOrder = RAW_ORDER) -> DataFrame:
     d = drop_subtotals(d, order)
     d = exclude_service_rows(d)
     d = keep_rows_with_measures(d, MEASURES)
+    d = d.withColumns({m: F.col(m).cast("decimal(18,2)") for m in MEASURES})
     return d.withColumnRenamed("label", LABEL), ctl, depth
 
 
 def turnover_register(raw: DataFrame, *, dialect: str = "upp", align: bool = False):
-    """P-7 / P-8: turnover registers of all files -> (flat, check, quarantine).
+    """P-7 / P-8: turnover registers of all files -> (flat, check, quarantine, contra).
 
     ``flat``: one row per leaf with ``Исх.файл``, ``Субконто``, measures,
     lifted quantities and ``Level_k``; ``check``: per-file control totals
     before/after with half-even differences (turnover after = Σ_до − Σ_ко of
     contra columns, falling back to the two turnover columns when a file has
     none); ``quarantine``: files without a header, without outline, or
-    without a total row."""
+    without a total row; ``contra``: the contra-account cells of the leaf rows."""
     title, rename = ("Субконто", TURNOVER_UPP_RENAME) if dialect == "upp" else ("Счет", TURNOVER_NONUPP_RENAME)
     hdr, no_header = resolve_outline_header(raw, title, rename)
     rows = project_measures(raw, hdr, title)
@@ -120,6 +124,8 @@ def turnover_register(raw: DataFrame, *, dialect: str = "upp", align: bool = Fal
     good = rows.join(facts.where(F.col("__ml") > 0).select("file_name"), on="file_name", how="left_semi")
     contra = contra_long_raw(good)
     flat, ctl, depth = flatten_outline(good.drop("cells", "header_names"))
+    ctl = stage(ctl, "control")
+    flat = stage(flat.join(ctl.select("file_name").distinct(), on="file_name", how="left_semi"), "leaves")
     no_total = good.select("file_name").distinct().join(ctl, on="file_name", how="left_anti") \
         .withColumn("reason", F.lit("no total row"))
     before = nets(ctl, "file_name", debit_open=MEASURES[0], credit_open=MEASURES[1], debit_turn=[MEASURES[2]],
@@ -141,34 +147,43 @@ def turnover_register(raw: DataFrame, *, dialect: str = "upp", align: bool = Fal
         flat = align_levels(flat, levels, ["file_name"])
     out = flat.withColumnRenamed("file_name", OUTLINE_FILE_COL)
     quarantine = no_header.unionByName(flat_outline).unionByName(no_total)
-    return out, check, quarantine, contra
-
-
-def general_balance(raw: DataFrame, *, dialect: str = "upp"):
-    """P-11 / P-12: general trial balance: header 'Счет' + two-row header
-    (O-6) -> Счет, Наименование, six measures; one-character accounts padded
-    (any value), unnamed rows dropped (O-24)."""
-    match = F.exists(F.col("cells"), lambda c: F.trim(c) == "Счет")
-    hdr = header_rows(raw, match, scan_rows=30)
-    d = raw.join(hdr.select("file_name", "header_row", "header"), on="file_name") \
-        .where(F.col("row_no") > F.col("header_row") + 1)
-    pos = {t: F.array_position(F.transform("header", lambda c: F.trim(c)), F.lit(t)).cast("int")
-           for t in ("Счет", "Сальдо на начало периода", "Оборот за период" if dialect == "upp"
-                     else "Обороты за период", "Сальдо на конец периода")}
-    title_cols = list(pos.values())
+    return out, check, quarantine, kept
+
+
+def general_balance(raw: DataFrame, *, dialect: str = "upp", scan_rows: int = OUTLINE_HEADER_SCAN_ROWS):
+    """P-11 / P-12: general trial balances -> (flat, quarantine).  Columns are found by
+    title: the account, its name (first dialect: in the row below the titles) and, below
+    the period titles, debit and credit (O-6).  One-character accounts are padded, unnamed
+    rows dropped (O-24); a file without the header or one of its titles is quarantined."""
+    titles = ["Счет", BALANCE_OPEN_TITLE, BALANCE_TURN_TITLE_UPP if dialect == "upp" else BALANCE_TURN_TITLE_NONUPP,
+              BALANCE_CLOSE_TITLE]
+    hdr = header_rows(raw, F.exists(F.col("cells"), lambda c: F.trim(c) == "Счет"), scan_rows=scan_rows)
+    below = (raw.join(hdr, on="file_name").where(F.col("row_no") == F.col("header_row") + 1)
+             .select("file_name", F.col("cells").alias("sub_header")))
+    hdr = hdr.join(below, on="file_name", how="left")
+
+    def place(cells, title):
+        return F.array_position(F.transform(cells, lambda c: F.trim(c)), F.lit(title)).cast("int")
+
+    # the name stands below its title in the first dialect, beside the titles in the second
+    name_at = place("sub_header", "Наименование") if dialect == "upp" else place("header", "Наименование счета")
+    hdr = hdr.select("file_name", "header_row", *[place("header", t).alias(f"p{i}") for i, t in enumerate(titles)],
+                     F.coalesce(name_at, F.lit(0)).alias("pn"))
+    whole = hdr.where(" AND ".join(f"p{i} > 0" for i in range(len(titles))) + " AND pn > 0")
+    files = raw.select("file_name").distinct()
+    quarantine = (files.join(hdr, on="file_name", how="left_anti").withColumn("reason", F.lit("header row not found"))
+                  .unionByName(_quarantine(hdr.join(whole, on="file_name", how="left_anti"), "required column not found")))
+    d = raw.join(whole, on="file_name").where(F.col("row_no") > F.col("header_row") + 1)
 
     def at(p):
         return F.nullif(F.trim(F.try_element_at(F.col("cells"), p)), F.lit(""))
-    acct = at(title_cols[0])
-    name = at(title_cols[0] + 1)
-    cols = {"Счет": F.when(F.length(acct) == 1, F.concat(F.lit("0"), acct)).otherwise(acct), "Наименование": name}
-    for stem_i, (dcol, kcol) in enumerate([(MEASURES[0], MEASURES[1]), (MEASURES[2], MEASURES[3]),
-                                          (MEASURES[4], MEASURES[5])]):
-        p = title_cols[stem_i + 1]
-        cols[dcol] = parse_number(at(p), default_zero=False, scale=2)
-        cols[kcol] = parse_number(at(p + 1), default_zero=False, scale=2)
+    acct = at(F.col("p0"))
+    cols = {"Счет": F.when(F.length(acct) == 1, F.concat(F.lit("0"), acct)).otherwise(acct), "Наименование": at(F.col("pn"))}
+    for i in range(3):
+        for side in (0, 1):
+            cols[MEASURES[2 * i + side]] = parse_number(at(F.col(f"p{i + 1}") + side), default_zero=False, scale=2)
     out = d.select(F.col("file_name").alias(OUTLINE_FILE_COL), "row_no", *[c.alias(n) for n, c in cols.items()])
-    return out.where(F.col("Наименование").isNotNull())
+    return out.where(F.col("Наименование").isNotNull()), quarantine
 
 
 def combine(flats: list[DataFrame], desired: list[str], *, align_batch: bool = True) -> DataFrame:
