@@ -109,13 +109,23 @@ def entry_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lines(spark, sf_dir).select(*KEYS, "date", "entry_id", "line_no")
 
 
-@query("entry_text_pivot", f"""SELECT * FROM (
-  PIVOT (SELECT file_name, date, entry_id, line_no, text FROM ({SQL_LINES}))
-  ON line_no USING max(text) GROUP BY file_name, date, entry_id)""")
+@query("entry_text_lines", f"""SELECT file_name, date, entry_id, line_no, text FROM ({SQL_LINES})
+WHERE text IS NOT NULL""")
+def entry_text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-47 + O-37 in long form: the text lines of each entry (service words kept)."""
+    return _lines(spark, sf_dir).where("text IS NOT NULL").select("file_name", "date", "entry_id", "line_no", "text")
+
+
+TEXT_WIDTH = 7  # an order has at most seven lines
+
+
+@query("entry_text_pivot", f"""WITH j AS ({JOURNAL_SQL})
+SELECT file_name, ok, {', '.join(f'max(CASE WHEN ln = {i} THEN text END) AS "{i}"' for i in range(1, TEXT_WIDTH + 1))}
+FROM j WHERE kind = 1 GROUP BY file_name, ok""")
 def entry_text_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O-37: text lines of each entry pivoted by line number (service words kept)."""
-    lines = stage(_lines(spark, sf_dir), "lines")
-    return pivot_lines(lines, ["file_name", "date", "entry_id"], "line_no", "text", prefix="")
+    """O-37: text lines of each order's entry, wide by line number (service words kept)."""
+    lines = _journal(spark, sf_dir).where("kind = 1").groupBy("file_name", "ok", "ln").agg(F.max("text").alias("text"))
+    return pivot_lines(lines, ["file_name", "ok"], "ln", "text", prefix="", width=TEXT_WIDTH)
 
 
 FU_COLS = ["document", "debit", "credit", "sub_dt", "sub_kt", "text"]
@@ -144,7 +154,7 @@ def entry_distinct_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distinct_first(d, JOURNAL_ORDER, ["entry_id", "debit", "credit"])
 
 
-@query("entry_specials_join", f"""WITH f AS ({SQL_FILLED}),
+@query("entry_specials_join", f"""WITH f AS MATERIALIZED ({SQL_FILLED}),
 e AS (SELECT file_name, entry_id, date, amount FROM f WHERE kind = 0),
 q AS (SELECT file_name, entry_id, amount AS qty FROM f WHERE text = 'Количество')
 SELECT e.file_name, e.entry_id, e.date, e.amount, q.qty
