@@ -22,7 +22,8 @@ def process_folder(spark: SparkSession, src: str, out: str, checkpoint: str,
                    pipeline: Callable[[DataFrame], DataFrame], *, available_now: bool = True,
                    max_files_per_trigger: int | None = None):
     """Start a stream that flattens every new raw_rows file with ``pipeline``
-    and appends the result (partitioned by file) under ``out``."""
+    and writes each epoch's result under ``out/epoch=<n>``: a retried epoch
+    replaces its own rows."""
     reader = spark.readStream.schema(RAW_SCHEMA)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
@@ -31,7 +32,7 @@ def process_folder(spark: SparkSession, src: str, out: str, checkpoint: str,
     def run(batch: DataFrame, epoch: int) -> None:
         if batch.isEmpty():
             return
-        write_register(pipeline(batch), out, mode="append")
+        write_register(pipeline(batch), f"{out.rstrip('/')}/epoch={epoch}")
 
     w = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
