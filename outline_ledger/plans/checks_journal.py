@@ -11,10 +11,11 @@ from ..functions.scalars import parse_date, parse_number, parse_timestamp
 from ..operators.journal import (attach_by_ordinal, distinct_first, entries_with, entry_ids,
                                  fill_entries, first_unique_columns, line_numbers, pivot_lines,
                                  special_rows, split_cell)
-from ..operators.ordered import RowOrder
+from ..operators.ordered import RowOrder, ordinal
 from ..operators.stage import stage
 from .catalog import query
 from .derived import register_views
+from .journals import account_card, posting_report
 
 
 def _date_text(col: str) -> str:
@@ -231,3 +232,88 @@ def journal_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spark.sql(PARSE_SQL)
     return d.select("o_orderkey", "date_text", "amount_text", parse_timestamp("date_text").alias("ts"),
                     parse_date("date_text").alias("day_only"), parse_number("amount_text").alias("amount"))
+
+
+# ------------------------------------------------------------ whole posting reports and cards
+def raw_journal(spark: SparkSession, sf_dir: str, header: list, entry: list[str], quantity: list[str], text: list[str]) -> DataFrame:
+    """raw_rows of the journal: a title row, the header row, then one row per journal row."""
+    j = stage(ordinal(_journal(spark, sf_dir), "row_no", JOURNAL_ORDER), "journal-numbered")
+
+    def cells(exprs):
+        return F.array(*[F.expr(e).cast("string") for e in exprs])
+
+    data = j.select("file_name", (F.col("row_no") + 2).alias("row_no"), F.lit(0).alias("level"), F.lit(False).alias("italic"),
+                    F.when(F.col("kind") == 0, cells(entry)).when(F.col("text") == QUANTITY, cells(quantity))
+                    .otherwise(cells(text)).alias("cells"))
+    files = j.select("file_name").distinct()
+    for n, row in ((1, ["Отчет"]), (2, header)):
+        data = data.unionByName(files.select(
+            "file_name", F.lit(n).cast("long").alias("row_no"), F.lit(0).alias("level"), F.lit(False).alias("italic"),
+            F.array(*[F.lit(c).cast("string") for c in row]).alias("cells")))
+    return data
+
+
+def _texts_sql(cols: list[str], where: str) -> str:
+    """DuckDB: per (file, entry, date) the lines of each text column, each value at its first place."""
+    lists = [f"list(coalesce({c}, '') ORDER BY ok, kind, ln, pk, sk, px)" for c in cols]
+    each = ", ".join(
+        f"array_to_string(list_transform(u[n * {i} + 2:n * {i + 1} + 1], lambda x: coalesce(nullif(x, ''), '')), '|') AS t{i}"
+        for i in range(len(cols)))
+    return f"""SELECT file_name, date, entry_id, {each} FROM (
+  SELECT file_name, date, entry_id, n, list_transform(a, lambda x, i: CASE WHEN list_position(a, x) = i THEN x END) AS u FROM (
+    SELECT file_name, date, entry_id, count(*) AS n, list_concat([entry_id], {', '.join(lists) if len(lists) == 1 else
+    _nested(lists)}) AS a FROM f WHERE {where} GROUP BY file_name, date, entry_id))"""
+
+
+def _nested(lists: list[str]) -> str:
+    return lists[0] if len(lists) == 1 else f"list_concat({lists[0]}, {_nested(lists[1:])})"
+
+
+POSTING_HEADER = ["Дата", "Документ", "Содержание", "Дт", None, "Кт", None, "Сумма", "Субконто Дт", "Субконто Кт"]
+
+
+@query("posting_report", f"""WITH f AS MATERIALIZED ({SQL_FILLED}),
+t AS ({_texts_sql(["text", "sub_dt", "sub_kt"], "true")}),
+e AS (SELECT * FROM f WHERE coalesce(text, '') <> 'Количество'
+      QUALIFY row_number() OVER (PARTITION BY file_name, entry_id, debit, credit ORDER BY ok, kind, ln, pk, sk, px) = 1),
+q AS (SELECT file_name, entry_id, amount + 1.5 AS dt, CAST(0 AS DECIMAL(18,4)) AS kt FROM f WHERE text = 'Количество')
+SELECT e.file_name AS "Имя_файла", t.date AS "Дата", regexp_replace(e.entry_id, '_end[0-9]+$', '') AS "Документ",
+  e.debit AS "Дт", e.credit AS "Кт", CAST(e.amount AS VARCHAR) AS "Сумма", t.t0 AS "Содержание", t.t1 AS "Субконто Дт",
+  t.t2 AS "Субконто Кт", q.dt AS "Дт_количество", q.kt AS "Кт_количество"
+FROM e LEFT JOIN t ON e.file_name = t.file_name AND e.entry_id = t.entry_id
+LEFT JOIN q ON e.file_name = q.file_name AND e.entry_id = q.entry_id
+WHERE e.debit IS NOT NULL OR e.credit IS NOT NULL""")
+def posting_report_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P-1 from raw cells: entries with their text lines and quantity rows."""
+    raw = raw_journal(spark, sf_dir, POSTING_HEADER,
+                      ["date_text", "document", "text", "debit", "NULL", "credit", "NULL", "amount", "sub_dt", "sub_kt"],
+                      ["NULL", "NULL", "text", "amount", "'1.5'"], ["NULL", "NULL", "text"])
+    flat, _ = posting_report(raw)
+    return flat.select("Имя_файла", "Дата", "Документ", "Дт", "Кт", "Сумма",
+                       *[F.array_join(c, "|", "").alias(c) for c in ("Содержание", "Субконто Дт", "Субконто Кт")],
+                       "Дт_количество", "Кт_количество")
+
+
+CARD_HEADER = ["Дата", "Документ", "Операция", "Дебет", None, "Кредит", None, None, "Текущее сальдо", None]
+
+
+@query("account_card", f"""WITH f AS MATERIALIZED ({SQL_FILLED}),
+p AS (SELECT * FROM f WHERE coalesce(text, '') <> 'Количество'),
+t AS ({_texts_sql(["text"], "coalesce(text, '') <> 'Количество'")}),
+e AS (SELECT * FROM p
+      QUALIFY row_number() OVER (PARTITION BY file_name, entry_id, debit, credit ORDER BY ok, kind, ln, pk, sk, px) = 1),
+q AS (SELECT file_name, entry_id, amount AS dt, amount + 2.25 AS kt FROM f WHERE text = 'Количество')
+SELECT e.file_name AS "Имя_файла", t.date AS "Дата", regexp_replace(e.entry_id, '_end[0-9]+$', '') AS "Документ",
+  e.debit AS "Дебет", e.credit AS "Кредит", CAST(e.amount AS VARCHAR) AS "Дебет_значение", t.t0 AS "Операция",
+  q.dt AS "Дт_количество", q.kt AS "Кт_количество"
+FROM e LEFT JOIN t ON e.file_name = t.file_name AND e.entry_id = t.entry_id
+LEFT JOIN q ON e.file_name = q.file_name AND e.entry_id = q.entry_id
+WHERE e.debit IS NOT NULL OR e.credit IS NOT NULL""")
+def account_card_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P-3 from raw cells: entries with their operations and quantity rows (sums between the titles)."""
+    raw = raw_journal(spark, sf_dir, CARD_HEADER,
+                      ["date_text", "document", "text", "debit", "amount", "credit", "NULL", "NULL", "'Д'", "amount"],
+                      ["NULL", "NULL", "'Кол-во'", "NULL", "amount", "NULL", "amount", "'2.25'"], ["NULL", "NULL", "text"])
+    flat, _ = account_card(raw)
+    return flat.select("Имя_файла", "Дата", "Документ", "Дебет", "Кредит", "Дебет_значение",
+                       F.array_join("Операция", "|", "").alias("Операция"), "Дт_количество", "Кт_количество")
