@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from .staging import small_side, stage
 
 LENGTH, END_ID, TOKENIZER = 4096, 2, "word_bpe_49k.json"
 #: Words whose ids a worker remembers; then it starts anew.
-REMEMBER = 400_000
+REMEMBER = 1_000_000
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -47,17 +48,42 @@ class WordIds(dict):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        # lower-case ASCII words reach the BPE model as they are in the usual tokenizers
+        self.plain = all(self._encode([w]) == [self._model(w)] for w in (b"a", b"the", b"tokenizers", b"zqxvkjw"))
+
+    def _encode(self, words: list) -> list:
+        found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
+        return [array("I", e.ids).tobytes() for e in found]
+
+    def _model(self, word: bytes) -> bytes:
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(word.decode())]).tobytes()
 
     def learn(self, words: set) -> None:
         if len(self) > REMEMBER:
             self.clear()
-        new = [w for w in words if w not in self]
-        for i in range(0, len(new), 20_000):
-            part = new[i:i + 20_000]
-            found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part],
-                                                     add_special_tokens=False)
-            for w, e in zip(part, found):
-                self[w] = np.array(e.ids, "<u4").tobytes()
+        new = [(w, *_stem(w)) for w in words if w not in self]
+        unknown = list({part for _, *parts in new for part in parts if part not in self})
+        rest = []
+        for w in unknown:
+            if self.plain and w.isalpha() and w.islower():
+                self[w] = self._model(w)
+            else:
+                rest.append(w)
+        for i in range(0, len(rest), 20_000):
+            self.update(zip(rest[i:i + 20_000], self._encode(rest[i:i + 20_000])))
+        for w, stem, mark in new:
+            self[w] = self[stem] + self[mark]
+
+
+def _stem(word: bytes) -> tuple[bytes, bytes]:
+    """Two parts whose ids make up the word's: the tokenizer lower-cases, and cuts between a letter
+    and punctuation, so a word in other case or before a comma need not be encoded again."""
+    if b"<" in word:  # the names of special tokens keep their case
+        return word, b""
+    low = word.lower()
+    if len(low) > 1 and low[-1] in b".,;:!?" and 97 <= low[-2] <= 122:
+        return low[:-1], low[-1:]
+    return low, b""
 
 
 _WORD_IDS: dict[str, WordIds] = {}
