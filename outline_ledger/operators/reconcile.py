@@ -94,6 +94,44 @@ def account_check(before: DataFrame, after: DataFrame, keys: list[str], measures
     return j.select(*out)
 
 
+def first_reaching(series: DataFrame, need: DataFrame, fan: int = 64) -> DataFrame:
+    """For each (g, pos, T) of ``need`` the P of the first later row of ``series`` (g, pos = 1..n, P)
+    with P >= T: (g, pos, __stopP); rows without one are absent.
+
+    A tree of maxima over blocks of ``fan`` rows, ``fan`` blocks and so on: a search climbs until a
+    later sibling's maximum reaches T, then descends.  Each step is a join on (group, parent), so no
+    task holds a group; the number of steps is the tree's height.
+    """
+    from .stage import stage
+    levels = [stage(series.select("__g", (F.col("__pos") - 1).alias("k"), F.col("__P").alias("m")), "maxima")]
+    size = series.agg(F.max("__pos")).first()[0] or 0
+    while size > fan:
+        up = levels[-1].groupBy("__g", F.floor(F.col("k") / fan).alias("k")).agg(F.max("m").alias("m"))
+        levels.append(stage(up, "maxima"))
+        size = -(-size // fan)
+
+    def siblings(level):
+        return levels[level].select(F.col("__g").alias("g2"), F.floor(F.col("k") / fan).alias("parent"),
+                                    F.col("k").alias("k2"), "m")
+
+    waiting = stage(need.select("__g", "__pos", "__T", (F.col("__pos") - 1).alias("k")), "searches")
+    found = []
+    for level in range(len(levels)):
+        hit = waiting.join(siblings(level), (F.col("__g") == F.col("g2")) & (F.floor(F.col("k") / fan) == F.col("parent"))
+                           & (F.col("k2") > F.col("k")) & (F.col("m") >= F.col("__T")))
+        hit = stage(hit.groupBy("__g", "__pos", "__T").agg(F.min("k2").alias("k")), "found")
+        found.append(hit)
+        waiting = stage(waiting.join(hit.select("__g", "__pos"), on=["__g", "__pos"], how="left_anti")
+                        .withColumn("k", F.floor(F.col("k") / fan)), "searches")
+    at = found[-1]
+    for level in range(len(levels) - 2, -1, -1):
+        down = at.join(siblings(level), (F.col("__g") == F.col("g2")) & (F.col("k") == F.col("parent"))
+                       & (F.col("m") >= F.col("__T")))
+        at = found[level].unionByName(down.groupBy("__g", "__pos", "__T").agg(F.min("k2").alias("k")))
+    return at.join(levels[0].select("__g", "k", F.col("m").alias("__stopP")), on=["__g", "k"]).select(
+        "__g", "__pos", "__stopP")
+
+
 def hidden_subtotals(df: DataFrame, order: RowOrder, group: list[str], value: str, *,
                      tolerance: float = 0.005, out: str = "is_subtotal") -> DataFrame:
     """O-71: row i (non-null value v_i, in file order within its group) is a
@@ -108,8 +146,8 @@ def hidden_subtotals(df: DataFrame, order: RowOrder, group: list[str], value: st
         each threshold takes the next Q by a forward fill over the reversed
         order (block-wise, no pairwise join), and P_j = Q_j there;
       * otherwise, in a group without negative values, it is j = i + 1;
-      * groups with negative values and such rows are finished per group by a
-        grouped pandas scan (the only per-group step; see README).
+      * in groups with negative values it is looked up in a tree of block maxima
+        (``first_reaching``), with the same decimal arithmetic.
     """
     from .ordered import ffill, ordinal, running, shift
     keys = [order.file_col] + group
@@ -152,28 +190,12 @@ def hidden_subtotals(df: DataFrame, order: RowOrder, group: list[str], value: st
     # case B without negatives: stop at the next row
     b = base.where((F.col("__T") <= F.col("__Q")) & (F.col("__minv") >= 0) & F.col("__Pn").isNotNull()
                    & ((F.col("__Pn") - F.col("__P")) <= (F.col("__v") + tol))).select("__g", "__pos")
-    # case B with negatives: exact scan per affected group
-    need = base.where((F.col("__T") <= F.col("__Q")) & (F.col("__minv") < 0)).select("__g").distinct()
-    series = base.join(need, on="__g", how="left_semi").select("__g", "__pos", "__v", "__T", "__Q")
-
-    def scan(pdf):
-        import numpy as np
-        pdf = pdf.sort_values("__pos")
-        v = pdf["__v"].astype(float).to_numpy()
-        pos = pdf["__pos"].to_numpy()
-        t = float(tolerance)
-        hits = []
-        for i in range(len(v) - 1):
-            if not float(pdf["__T"].iloc[i]) <= float(pdf["__Q"].iloc[i]):
-                continue
-            s = np.cumsum(v[i + 1:])
-            stop = np.nonzero(s >= v[i] - t)[0]
-            if stop.size and s[stop[0]] <= v[i] + t:
-                hits.append(pos[i])
-        import pandas as pd
-        return pd.DataFrame({"__g": pd.Series([str(pdf["__g"].iloc[0])] * len(hits), dtype="string"),
-                             "__pos": pd.Series(hits, dtype="int64")})
-    c = series.groupBy("__g").applyInPandas(scan, "__g string, __pos long")
+    # case B with negatives: the first later prefix sum that reaches the threshold, by block maxima
+    need = base.where((F.col("__T") <= F.col("__Q")) & (F.col("__minv") < 0)).select("__g", "__pos", "__T", "__P", "__v")
+    series = base.join(need.select("__g").distinct(), on="__g", how="left_semi").select("__g", "__pos", "__P")
+    stops = first_reaching(series, need.select("__g", "__pos", "__T"))
+    c = need.join(stops, on=["__g", "__pos"]) \
+        .where((F.col("__stopP") - F.col("__P")) <= (F.col("__v") + tol)).select("__g", "__pos")
     hits = a.unionByName(b).unionByName(c).withColumn(out, F.lit(True))
     res = base.join(hits, on=["__g", "__pos"], how="left")
     res = res.withColumn(out, F.coalesce(F.col(out), F.lit(False)))

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from outline_ledger.operators.ordered import RowOrder
-from outline_ledger.operators.reconcile import hidden_subtotals
+from outline_ledger.operators.reconcile import first_reaching, hidden_subtotals
 
 
 def brute(vals, tol=0.005):
@@ -51,3 +51,17 @@ def test_hidden_subtotals_match_scan(spark):
     got = {(r.grp, r.row_no % 1000) for r in out.collect() if r.is_subtotal}
     assert out.count() == len(rows)
     assert got == expect
+
+
+def test_first_reaching_climbs_and_descends(spark):
+    rnd = random.Random(8)
+    rows = [(f"g{g}", i + 1, rnd.randint(-100, 100) + (900 if i == n - 3 else 0)) for g, n in ((0, 200), (1, 3), (2, 1)) for i in range(n)]
+    need = [(g, i, rnd.choice((50, 99, 500, 2000))) for g, i, _ in rows]
+    series = spark.createDataFrame(rows, "__g string, __pos long, __P int")
+    got = {(r[0], r[1]): r[2] for r in first_reaching(series, spark.createDataFrame(need, "__g string, __pos long, __T int"), fan=4).collect()}
+    want = {}
+    for g, i, t in need:
+        later = [p for h, j, p in rows if h == g and j > i and p >= t]
+        if later:
+            want[g, i] = later[0]
+    assert got == want
