@@ -2,8 +2,9 @@
 
 Fit.  Features are a text's words and their first 4 and 5 bytes (A-Z as a-z).  Document
 frequencies in each class come from all training rows; the vocabulary is the
-``features`` features most associated with label 1 (log-likelihood ratio, above
-``least_g2``).  Examples are at most ``examples`` training rows of each class, the
+``features`` features most associated with label 1 (log-likelihood ratio of at least
+``least_g2``) of whose rows at least ``LEAST_SHARE`` have label 1; the share keeps out common
+words, which any difference in length makes significant in a large corpus.  Examples are at most ``examples`` training rows of each class, the
 distinct texts of smallest hash; both bounds are parameters, so index and vocabulary have a fixed
 size whatever the corpus.  An example's vector is sqrt(tf) * idf over the
 vocabulary, scaled to length 1.
@@ -11,7 +12,8 @@ vocabulary, scaled to length 1.
 Score.  Every text looks up its whole text's features.  Postings of a feature lie in
 blocks of examples with the block's largest weight; features are taken by falling bound,
 blocks whose bounds cannot reach the current k-th similarity are skipped, the others are
-scored exactly.  The ``neighbours`` nearest vote with weight sim / (1 - sim + 0.05); the
+scored exactly.  The ``neighbours`` nearest vote with weight sim^2 / (1 - sim + 0.05), times the
+number of training rows that an example of its class stands for; the
 score is the weighted share of label 1, smoothed toward the base rate of examples
 with no feature.  A text without any feature gets that rate; so does an empty text.
 
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from .staging import small_side, stage, unstage
 from .words import U, mix, text_slices, word_hashes
 
-FEATURES, LEAST_G2, EXAMPLES, NEIGHBOURS, BLOCK = 4096, 20.0, 4000, 25, 64
+FEATURES, LEAST_G2, LEAST_SHARE, EXAMPLES, NEIGHBOURS, BLOCK = 4096, 15.0, 0.95, 4000, 25, 64
 PREFIXES = (4, 5)
 
 
@@ -91,7 +93,7 @@ def _vocabulary(train: DataFrame, features: int, least_g2: float):
     n = F.col("toxic") + F.col("clean")
     g2 = 2 * (term(F.col("toxic"), n * (t / (t + c))) + term(F.col("clean"), n * (c / (t + c)))
               + term(t - F.col("toxic"), (t + c - n) * (t / (t + c))) + term(c - F.col("clean"), (t + c - n) * (c / (t + c))))
-    top = (counts.where((F.col("f") != 0) & (F.col("toxic") * c > F.col("clean") * t))
+    top = (counts.where((F.col("f") != 0) & (F.col("toxic") >= LEAST_SHARE * n) & (F.col("toxic") * c > F.col("clean") * t))
            .select("f", n.alias("n"), g2.alias("g2")).where(F.col("g2") >= least_g2)
            .orderBy(F.desc("g2"), "f").limit(features).collect())
     f = np.array([r["f"] for r in top], np.int64).view(U)
@@ -192,10 +194,10 @@ def score_toxicity(docs: DataFrame, train: DataFrame, features: int = FEATURES,
     c = np.bincount(np.array(none, np.int64), minlength=2) * weight if none else np.zeros(2)
     base = float((c[1] + 0.5) / (c.sum() + 1 + 0.5 / 0.01)) if n_toxic else 0.0
     index = BlockMaxIndex([found[i] for i in full], label[full], [chosen[i]["doc_id"] for i in full], len(vocab))
-    shared = spark.sparkContext.broadcast((vocab, idf, index))
+    shared = spark.sparkContext.broadcast((vocab, idf, index, weight / weight.min()))
 
     def run(batches):
-        vocab, idf, index = shared.value
+        vocab, idf, index, stands_for = shared.value
         for batch in batches:
             for lo, hi, buf, at in text_slices(batch.column(1)):
                 score, evidence = [], []
@@ -203,7 +205,7 @@ def score_toxicity(docs: DataFrame, train: DataFrame, features: int = FEATURES,
                     s, near = base, []
                     if len(f) and len(index.labels):
                         e, sim = index.nearest(f, w, neighbours)
-                        v = sim / (1.05 - np.minimum(sim, 1.0))
+                        v = sim * sim / (1.05 - np.minimum(sim, 1.0)) * stands_for[index.labels[e]]
                         s = float((v @ index.labels[e] + base) / (v.sum() + 1))
                         near = [{"doc_id": index.ids[i], "label": int(index.labels[i]), "similarity": float(x)}
                                 for i, x in zip(e[:5], sim[:5])]
