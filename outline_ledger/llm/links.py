@@ -3,7 +3,7 @@
 A bucket is a set of nodes that share a band.  Pairs come in two rounds, so that a
 bucket of near copies never yields all its pairs:
 
-1. ``star_pairs``: every member with the smallest member of its bucket.  The
+1. ``star_pairs``: every member with the smallest members of two of its buckets.  The
    caller verifies them and labels the components.
 2. ``cross_pairs``: in each bucket, members outside the bucket's largest component
    with the members that carry another label.  Pairs inside a component add
@@ -28,33 +28,35 @@ def multi_buckets(buckets: DataFrame) -> DataFrame:
 
 
 def star_pairs(multi: DataFrame) -> DataFrame:
-    """Distinct (a, b), a > b: each member with its bucket's smallest member."""
-    return multi.where("node > leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
+    """(a, b), a > b: each member with two leaders of its buckets, the one that it shares
+    most buckets with and the smallest one; so a node has at most two pairs."""
+    per = multi.where("node > leader").groupBy("node", "leader").agg(F.count(F.lit(1)).alias("n"))
+    two = per.groupBy("node").agg(F.max(F.struct("n", "leader")).alias("best"), F.min("leader").alias("least"))
+    both = F.array_distinct(F.array(F.col("best.leader"), F.col("least")))
+    return two.select(F.col("node").alias("a"), F.explode(both).alias("b"))
 
 
-def xor_bits(x: str, y: str, words: int) -> Column:
+def xor_bits(x: str, y: str, words: range) -> Column:
     """Population count of the XOR of two bitmaps held in columns ``{x}0``.. and ``{y}0``.."""
     total = F.lit(0)
-    for i in range(words):
+    for i in words:
         total = total + F.bit_count(F.col(f"{x}{i}").bitwiseXOR(F.col(f"{y}{i}")))
     return total
 
 
-def cross_pairs(multi: DataFrame, labels: DataFrame, sketches: DataFrame, words: int, most: Column) -> DataFrame:
-    """Distinct (a, b), a > b, of different components, not yet tried by ``star_pairs``.
+def cross_pairs(multi: DataFrame, labels: DataFrame, sketches: DataFrame, words: int, near: Column) -> DataFrame:
+    """Distinct (a, b), a > b, that share a bucket and are of different components.
 
     ``labels`` (node, comp) holds linked nodes; any other node is a component of its own.
     ``sketches`` (node, n, s0..) has set sizes and bitmaps of ``words`` longs; the join itself
-    drops pairs whose bitmaps differ in more than ``most`` bits (of columns nx and ny), so
-    members of a bucket that are not similar yield no rows.
+    drops pairs that are not ``near`` (a condition on nx, xs0.. and ny, ys0..), so members of a
+    bucket that are not similar yield no rows.
     """
-    lab = (multi.join(labels, "node", "left")
-           .select("key", "node", "leader", F.coalesce("comp", "node").alias("comp")))
+    lab = multi.join(labels, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
     per = lab.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
-    main = (per.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("m"), F.count(F.lit(1)).alias("c"),
-                                   F.sum("n").alias("size"))
-            .where("c > 1 AND size > 2").select("key", F.col("m.comp").alias("main")))
-    mixed = lab.join(main, "key").where("node > leader").join(sketches, "node")
+    main = (per.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("m"), F.count(F.lit(1)).alias("c"))
+            .where("c > 1").select("key", F.col("m.comp").alias("main")))
+    mixed = lab.join(main, "key").join(sketches, "node")
 
     def side(c):
         return mixed.select(F.col("key").alias(f"{c}k"), F.col("node").alias(c), F.col("comp").alias(f"{c}c"),
@@ -62,7 +64,7 @@ def cross_pairs(multi: DataFrame, labels: DataFrame, sketches: DataFrame, words:
                             *[F.col(f"s{i}").alias(f"{c}s{i}") for i in range(words)])
 
     both = side("x").where("xo").join(side("y"), F.expr("xk = yk AND xc <> yc AND (NOT yo OR x < y)")
-                                      & (xor_bits("xs", "ys", words) <= most))
+                                      & near)
     return both.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
 
 

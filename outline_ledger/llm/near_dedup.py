@@ -11,7 +11,9 @@ nothing.  Two documents are linked if 100 * intersection >= percent * union.
    shuffle); only class representatives go on.
 3. ``links`` turns band buckets into candidate pairs.  A pair goes on if the population
    count of the XOR of its odd sketches is within the bound that a pair at the
-   threshold exceeds with negligible probability (``max_xor_bits``).
+   threshold exceeds with negligible probability (``max_xor_bits``).  A second bitmap, the
+   parity of the whole set, sharpens this for small sets: two such bitmaps differ in at
+   most as many bits as the sets in members, so its bound loses no pair at all.
 4. The sets of the remaining documents are made again from the full texts, and the pairs
    are confirmed on them exactly.  Union-find gives the components.
 
@@ -51,7 +53,7 @@ def shingles(buf: np.ndarray, rows: np.ndarray, k: int):
         if b - a >= k:
             u = np.unique(acc[a:b - k + 1])
         elif b > a:
-            u = mix((h[a:b] * odd[:b - a]).sum(keepdims=True) + odd[k] * U(b - a))
+            u = mix((h[a:b] * odd[:b - a]).sum(keepdims=True) + odd[k:k + 1] * U(b - a))
         else:
             u = acc[:0]
         parts.append(u)
@@ -84,6 +86,13 @@ def odd_sketch(samples: np.ndarray, bits: int) -> np.ndarray:
     return np.packbits((count & 1).astype(np.uint8).reshape(r, bits), axis=1).view(np.int64)
 
 
+def parity(sets: np.ndarray, offs: np.ndarray, bits: int) -> np.ndarray:
+    """(rows, bits / 64) int64: the parity bitmap of each row's whole set."""
+    r = len(offs) - 1
+    at = np.repeat(np.arange(r), np.diff(offs)) * bits + (sets % U(bits)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=r * bits) & 1).astype(np.uint8).reshape(r, bits), axis=1).view(np.int64)
+
+
 def max_xor_bits(percent: int, samples: int, bits: int) -> int:
     """XOR bits that a pair at the threshold exceeds with negligible probability: 4.5 standard
     deviations above the mean; pairs above the threshold have fewer."""
@@ -118,7 +127,7 @@ def _signatures(docs: DataFrame, k: int, bands: int, rows: int, bits: int) -> Da
                 d2 = _reduce(np.add, mix(sets ^ U(0x89ABCDEF01)), offs).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, hi - lo), pa.array(np.diff(offs)), pa.array(d1), pa.array(d2),
-                     _lists(keys), _lists(odd_sketch(m, bits))],
+                     _lists(keys), _lists(np.hstack([odd_sketch(m, bits), parity(sets, offs, bits)]))],
                     names=["doc_id", "n_shingles", "d1", "d2", "bands", "sketch"])
 
     return docs.select("doc_id", "text").mapInArrow(
@@ -150,17 +159,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     multi = stage(multi_buckets(reps.select("node", F.explode("bands").alias("key"))), "near-buckets")
     words, samples = bits // 64, bands * rows
     sketches = reps.select("node", F.col("n_shingles").alias("n"),
-                           *[F.get("sketch", F.lit(i)).alias(f"s{i}") for i in range(words)])
-    bound = max_xor_bits(percent, samples, bits)
-    # sets of too different sizes cannot reach the threshold
-    most = F.when(100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"), bound).otherwise(-1)
+                           *[F.get("sketch", F.lit(i)).alias(f"s{i}") for i in range(2 * words)])
+    total = F.col("nx") + F.col("ny")
+    near = ((100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
+            & (xor_bits("xs", "ys", range(words)) <= max_xor_bits(percent, samples, bits))
+            & (xor_bits("xs", "ys", range(words, 2 * words)) * (100 + percent) <= total * (100 - percent)))
 
     def close_stars() -> DataFrame:
         def side(c):
             return sketches.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"),
-                                   *[F.col(f"s{i}").alias(f"{c}s{i}") for i in range(words)])
+                                   *[F.col(f"s{i}").alias(f"{c}s{i}") for i in range(2 * words)])
         pairs = star_pairs(multi).toDF("x", "y")
-        return (pairs.join(side("x"), "x").join(side("y"), "y").where(xor_bits("xs", "ys", words) <= most)
+        return (pairs.join(side("x"), "x").join(side("y"), "y").where(near)
                 .select(F.col("x").alias("a"), F.col("y").alias("b")))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
@@ -174,7 +184,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
 
     links = confirmed(close_stars())
     labels = stage(components(links, "near-cc"), "near-labels")
-    more = confirmed(cross_pairs(multi, labels, sketches, words, most))
+    more = confirmed(cross_pairs(multi, labels, sketches, 2 * words, near))
     if more.limit(1).count():
         labels = stage(components(links.union(more), "near-cc"), "near-labels")
     named = (classes.join(labels, "node", "left")
