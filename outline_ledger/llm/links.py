@@ -3,7 +3,7 @@
 A bucket is a set of nodes that share a band.  Pairs come in two rounds, so that a
 bucket of near copies never yields all its pairs:
 
-1. ``star_pairs``: every member with the smallest members of two of its buckets.  The
+1. ``star_pairs``: every member with the smallest members of some of its buckets.  The
    caller verifies them and labels the components.
 2. ``cross_pairs``: in each bucket, members outside the bucket's largest component
    with the members that carry another label.  Pairs inside a component add
@@ -27,13 +27,15 @@ def multi_buckets(buckets: DataFrame) -> DataFrame:
     return buckets.join(heads, "key").select("key", "node", "leader")
 
 
-def star_pairs(multi: DataFrame) -> DataFrame:
-    """(a, b), a > b: each member with two leaders of its buckets, the one that it shares
-    most buckets with and the smallest one; so a node has at most two pairs."""
+def star_pairs(multi: DataFrame, leaders: int = 1) -> DataFrame:
+    """(a, b), a > b: each member with some leaders of its buckets, the ``leaders`` that it shares most
+    buckets with and the smallest one; so a node has at most ``leaders`` + 1 pairs.  More leaders
+    cost verifications here and save pairs in ``cross_pairs``."""
     per = multi.where("node > leader").groupBy("node", "leader").agg(F.count(F.lit(1)).alias("n"))
-    two = per.groupBy("node").agg(F.max(F.struct("n", "leader")).alias("best"), F.min("leader").alias("least"))
-    both = F.array_distinct(F.array(F.col("best.leader"), F.col("least")))
-    return two.select(F.col("node").alias("a"), F.explode(both).alias("b"))
+    # a node has no more leaders than bands
+    of = per.groupBy("node").agg(F.collect_list(F.struct("n", "leader")).alias("l"), F.min("leader").alias("least"))
+    best = F.slice(F.sort_array("l", asc=False), 1, leaders).getField("leader")
+    return of.select(F.col("node").alias("a"), F.explode(F.array_union(best, F.array("least"))).alias("b"))
 
 
 def xor_bits(x: str, y: str, words: range) -> Column:
