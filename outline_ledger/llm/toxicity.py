@@ -2,17 +2,19 @@
 
 Fit.  Features are a text's words and their first 4 and 5 bytes (A-Z as a-z).  Document
 frequencies in each class come from all training rows; the vocabulary is the
-``features`` features most associated with label 1 (log-likelihood ratio of at least
-``least_g2``) of whose rows at least ``LEAST_SHARE`` have label 1; the share keeps out common
-words, which any difference in length makes significant in a large corpus.  Examples are at most ``examples`` training rows of each class, the
+``features`` features most associated with either label (log-likelihood ratio of at least
+``least_g2``), so that examples of both have vectors and vote.  Examples are at most ``examples`` training rows of each class, the
 distinct texts of smallest hash; both bounds are parameters, so index and vocabulary have a fixed
-size whatever the corpus.  An example's vector is sqrt(tf) * idf over the
-vocabulary, scaled to length 1.
+size whatever the corpus.  An example's vector is sqrt(tf) * idf * the squared log ratio of the
+feature's shares in the classes over the vocabulary, scaled to length 1; so common words that
+only length makes significant weigh little, whichever label they lean to.
 
 Score.  Every text looks up its whole text's features.  Postings of a feature lie in
 blocks of examples with the block's largest weight; features are taken by falling bound,
 blocks whose bounds cannot reach the current k-th similarity are skipped, the others are
-scored exactly.  The ``neighbours`` nearest vote with weight sim^2 / (1 - sim + 0.05), times the
+scored exactly.  For texts of more than ``SPARSE`` features bounds of blocks are too high to skip
+any; a matrix product in float32 over all examples names those that can be among the nearest,
+and they are scored exactly.  The ``neighbours`` nearest vote with weight sim^2 / (1 - sim + 0.05), times the
 number of training rows that an example of its class stands for; the
 score is the weighted share of label 1, smoothed toward the base rate of examples
 with no feature.  A text without any feature gets that rate; so does an empty text.
@@ -33,7 +35,8 @@ from pyspark.sql import functions as F
 from .staging import small_side, stage, unstage
 from .words import U, mix, text_slices, word_hashes
 
-FEATURES, LEAST_G2, LEAST_SHARE, EXAMPLES, NEIGHBOURS, BLOCK = 4096, 15.0, 0.95, 4000, 25, 64
+FEATURES, LEAST_G2, EXAMPLES, NEIGHBOURS, BLOCK = 4096, 15.0, 4000, 25, 64
+SPARSE, TEXTS, SLACK = 6, 128, 1e-4
 PREFIXES = (4, 5)
 
 
@@ -80,7 +83,7 @@ def _class_counts(train: DataFrame) -> DataFrame:
 
 
 def _vocabulary(train: DataFrame, features: int, least_g2: float):
-    """Sorted feature hashes and their idf; at most ``features`` rows reach the driver."""
+    """Sorted feature hashes and their weights; at most ``features`` rows reach the driver."""
     counts = stage(_class_counts(train), "toxic-counts")
     total = counts.where("f = 0").first()
     if total is None or not total["toxic"] or not total["clean"]:
@@ -93,13 +96,15 @@ def _vocabulary(train: DataFrame, features: int, least_g2: float):
     n = F.col("toxic") + F.col("clean")
     g2 = 2 * (term(F.col("toxic"), n * (t / (t + c))) + term(F.col("clean"), n * (c / (t + c)))
               + term(t - F.col("toxic"), (t + c - n) * (t / (t + c))) + term(c - F.col("clean"), (t + c - n) * (c / (t + c))))
-    top = (counts.where((F.col("f") != 0) & (F.col("toxic") >= LEAST_SHARE * n) & (F.col("toxic") * c > F.col("clean") * t))
-           .select("f", n.alias("n"), g2.alias("g2")).where(F.col("g2") >= least_g2)
+    top = (counts.where(F.col("f") != 0)
+           .select("f", "toxic", "clean", n.alias("n"), g2.alias("g2")).where(F.col("g2") >= least_g2)
            .orderBy(F.desc("g2"), "f").limit(features).collect())
     f = np.array([r["f"] for r in top], np.int64).view(U)
     idf = np.log((t + c + 1) / (np.array([r["n"] for r in top], float) + 1)) + 1
+    share = [(np.array([r[y] for r in top], float) + 0.5) / (rows + 1) for y, rows in (("toxic", t), ("clean", c))]
+    weight = idf * np.log(share[0] / share[1]) ** 2
     order = np.argsort(f)
-    return f[order], idf[order], total["toxic"]
+    return f[order], weight[order], total["toxic"]
 
 
 def vectors(buf: np.ndarray, rows: np.ndarray, vocab: np.ndarray, idf: np.ndarray):
@@ -114,7 +119,7 @@ def vectors(buf: np.ndarray, rows: np.ndarray, vocab: np.ndarray, idf: np.ndarra
     r, f = key // len(vocab), key % len(vocab)
     w = np.sqrt(tf) * idf[f]
     norm = np.sqrt(np.bincount(r, w * w, n))
-    w = w / norm[r] if len(r) else w
+    w = w / np.maximum(norm[r], 1e-300) if len(r) else w
     cut = np.searchsorted(r, np.arange(n + 1))
     return [(f[a:b], w[a:b]) for a, b in zip(cut, cut[1:])]
 
@@ -161,6 +166,44 @@ class BlockMaxIndex:
             take *= 2
         return ex, sim
 
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "dense"}
+
+    def _dense(self) -> np.ndarray:
+        """Weights by feature and example, made once in each process that scores."""
+        if "dense" not in self.__dict__:
+            self.dense = np.zeros((len(self.at) - 1, len(self.labels)), np.float32)
+            self.dense[np.repeat(np.arange(len(self.at) - 1), np.diff(self.at)), self.example] = self.weight
+            by = np.argsort(self.example, kind="stable")
+            self.row_f = np.repeat(np.arange(len(self.at) - 1), np.diff(self.at))[by]
+            self.row_w = self.weight[by]
+            self.row_at = np.searchsorted(self.example[by], np.arange(len(self.labels) + 1))
+        return self.dense
+
+    def nearest_of_all(self, texts: list, k: int) -> list:
+        """``nearest`` of each of many texts [(f, w)]."""
+        found = [self.nearest(f, w, k) if len(f) <= SPARSE else None for f, w in texts]
+        rest = [i for i, x in enumerate(found) if x is None]
+        for lo in range(0, len(rest), TEXTS):
+            part, dense = rest[lo:lo + TEXTS], self._dense()
+            q = np.zeros((len(part), len(dense)), np.float32)
+            for r, i in enumerate(part):
+                q[r, texts[i][0]] = texts[i][1]
+            rough = q @ dense
+            for r, i in enumerate(part):
+                found[i] = self._exact(rough[r], *texts[i], k)
+        return found
+
+    def _exact(self, rough: np.ndarray, f: np.ndarray, w: np.ndarray, k: int):
+        least = np.partition(rough, -k)[-k] - SLACK if len(rough) > k else 0
+        e = np.flatnonzero(rough >= max(least, 0))
+        full = np.zeros(len(self.at) - 1)
+        full[f] = w
+        sim = np.array([full[self.row_f[a:b]] @ self.row_w[a:b] for a, b in zip(self.row_at[e], self.row_at[e + 1])])
+        e, sim = e[sim > 0], sim[sim > 0]
+        best = np.lexsort((e, -np.round(sim, 12)))[:k]
+        return e[best], sim[best]
+
 
 def score_toxicity(docs: DataFrame, train: DataFrame, features: int = FEATURES, least_g2: float = LEAST_G2,
                    examples: int = EXAMPLES, neighbours: int = NEIGHBOURS) -> DataFrame:
@@ -201,10 +244,11 @@ def score_toxicity(docs: DataFrame, train: DataFrame, features: int = FEATURES,
         for batch in batches:
             for lo, hi, buf, at in text_slices(batch.column(1)):
                 score, evidence = [], []
-                for f, w in vectors(buf, at, vocab, idf):
+                of = vectors(buf, at, vocab, idf)
+                found = index.nearest_of_all(of, neighbours) if len(index.labels) else [((), ())] * len(of)
+                for e, sim in found:
                     s, near = base, []
-                    if len(f) and len(index.labels):
-                        e, sim = index.nearest(f, w, neighbours)
+                    if len(e):
                         v = sim * sim / (1.05 - np.minimum(sim, 1.0)) * stands_for[index.labels[e]]
                         s = float((v @ index.labels[e] + base) / (v.sum() + 1))
                         near = [{"doc_id": index.ids[i], "label": int(index.labels[i]), "similarity": float(x)}
