@@ -9,7 +9,8 @@ of the mean are content.  Paths that hang below the same container as the conten
 
 Elements that never hold main text (navigation, headers, footers, asides, forms, scripts, styles,
 adverts, notices, comments by tag, role or class name) are left out before.  If the
-page has articles or a main element, only these are searched.
+page has articles or a main element, only these are searched.  Where nothing is left, the page
+is searched again without the rule of class names and ids.
 
 Text: character references decoded, white space inside a block turned into one space,
 trimmed, blocks in page order joined by one space.  Defined cases: null or empty html, or a
@@ -41,6 +42,8 @@ NAMES_OUT = frozenset("ad ads adv advert adverts advertisement sponsor sponsored
                       "respond reply replies discussion share sharing social related recommended recommendations widget "
                       "toolbar pagination pager login signup search skip copyright".split())
 KEPT_ALWAYS = frozenset("html body main".split())
+# a class with such a word tells of a part that the element has or lacks, not what it is
+STATES = frozenset("has no not with without".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # an opening tag of the second set ends an open element of the first
 CLOSED_BY = {"p": frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 "
@@ -59,7 +62,7 @@ _NAME = re.compile(r"[a-z]+")
 SHARE, SMOOTH = 0.2, 1.0
 
 
-def _left_out(tag: str, attrs: str) -> bool:
+def _left_out(tag: str, attrs: str, inside: bool = False, by_name: bool = True) -> bool:
     if tag in LEFT_OUT:
         return True
     if not attrs or tag in KEPT_ALWAYS:
@@ -67,13 +70,21 @@ def _left_out(tag: str, attrs: str) -> bool:
     found = {m[1].lower(): (m[2] or m[3] or m[4] or "").lower() for m in _ATTR.finditer(attrs)}
     if found.get("aria-hidden") == "true" or "hidden" in found or found.get("role") in ROLES_OUT:
         return True
-    names = set(_NAME.findall(f"{found.get('class', '')} {found.get('id', '')}"))
+    if not by_name:
+        return False
+    names: set = set()
+    for token in f"{found.get('class', '')} {found.get('id', '')}".split():
+        parts = _NAME.findall(token)
+        if STATES.isdisjoint(parts):
+            names.update(parts)
+    if inside:
+        names.discard("header")  # an article's own header holds its headings
     if tag == "article" or tag in HEADINGS:
         return not names.isdisjoint({"comment", "comments", "reply", "ad", "advert", "sponsored"})
     return not names.isdisjoint(NAMES_OUT)
 
 
-def page_blocks(page: str) -> list:
+def page_blocks(page: str, by_name: bool = True) -> list:
     """[path, text, linked characters, inside an article or main element] of the searched blocks."""
     blocks, stack = [], []  # stack: (tag, path, left out, inside, below comments)
     words, linked, links = [], 0, 0
@@ -144,7 +155,7 @@ def page_blocks(page: str) -> list:
             pos = end.end() if end else size
             continue
         attrs = m[3]
-        skip = _left_out(tag, attrs)
+        skip = _left_out(tag, attrs, inside, by_name)
         if skip and tag == "header" and inside:
             skip = False  # an article's own header holds its headings
         if tag not in INLINE:
@@ -201,7 +212,7 @@ def content_paths(blocks: list, share: float = SHARE, smooth: float = SMOOTH) ->
 
 def main_text(page: str | None) -> str:
     """The main text of a page."""
-    blocks = page_blocks(page or "")
+    blocks = page_blocks(page or "") or page_blocks(page or "", by_name=False)
     if any(b[3] for b in blocks):
         blocks = [b for b in blocks if b[3]]
     if not blocks:
