@@ -18,6 +18,7 @@ from .packing import pack
 from .staging import read_table
 from .topk_search import top_k
 from .toxicity import score_toxicity, training_rows
+from .turn_repair import damaged, repair_conversations
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -118,3 +119,10 @@ def op10_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's record, written into ZIP archives and read back."""
     return archive_round_trip(read_table(spark, sf_dir, "pages"), least_bytes=0).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op11_turn_repair")
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations after damage: their faults, the cheapest repair and its digest."""
+    report, _ = repair_conversations(damaged(read_table(spark, sf_dir, "conversations")))
+    return report
