@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .archive import archive_round_trip
 from .chat_format import format_conversations, read_back, text_messages
+from .collocations import collocations
 from .decontam import find_leaks
 from .html_extract import extract_text
 from .line_dedup import dedup_lines
@@ -126,3 +127,38 @@ def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations after damage: their faults, the cheapest repair and its digest."""
     report, _ = repair_conversations(damaged(read_table(spark, sf_dir, "conversations")))
     return report
+
+
+_PHRASES_ORACLE = """
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^ \\t]+') AS ws FROM p),
+g AS (
+  SELECT lang, k, unnest(list_transform(range(1, greatest(len(ws) - k + 2, 1)), i -> ws[i:i + k - 1])) AS ph
+  FROM w, (SELECT unnest([1, 2, 3]) AS k)),
+f AS (SELECT lang, k, ph, count(*) AS c FROM g GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(c) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+cut AS (
+  SELECT t.lang, t.ph, t.k, t.c AS a, l.k AS at, l.c AS l, r.c AS r,
+    CAST(1000000 * CAST(t.c AS HUGEINT) * t.c // (CAST(l.c AS HUGEINT) * r.c) AS BIGINT) AS score
+  FROM f t JOIN f l ON l.lang = t.lang AND l.k < t.k AND l.ph = t.ph[1:l.k]
+  JOIN f r ON r.lang = t.lang AND r.k = t.k - l.k AND r.ph = t.ph[l.k + 1:t.k]
+  WHERE t.k > 1 AND t.c >= 10
+  QUALIFY row_number() OVER (PARTITION BY t.lang, t.ph ORDER BY score, l.k) = 1),
+kept AS (
+  SELECT * FROM cut c WHERE NOT EXISTS (
+    SELECT 1 FROM f t WHERE t.lang = c.lang AND c.k = 2 AND t.k = 3 AND t.c >= 10 AND t.ph[1:2] = c.ph AND 100 * t.c >= 50 * c.a)
+  AND NOT EXISTS (
+    SELECT 1 FROM f t WHERE t.lang = c.lang AND c.k = 2 AND t.k = 3 AND t.c >= 10 AND t.ph[2:3] = c.ph AND 100 * t.c >= 50 * c.a))
+SELECT lang, CAST(row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(ph, ' ')) AS BIGINT) AS rank,
+  array_to_string(ph, ' ') AS phrase, a, l, r, n.n, score
+FROM kept JOIN n USING (lang)
+QUALIFY rank <= 2000"""
+
+
+@query("op12_collocations", _PHRASES_ORACLE)
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 best phrases of two and three words of each lang of all documents."""
+    return collocations(read_table(spark, sf_dir, "documents")).withColumn("rank", F.col("rank").cast("long"))
