@@ -16,6 +16,7 @@ from .line_dedup import dedup_lines
 from .lm_scoring import lm_scores
 from .near_dedup import near_duplicates
 from .packing import pack
+from .secrets import find_secrets, span_list
 from .staging import read_table
 from .topk_search import top_k
 from .toxicity import score_toxicity, training_rows
@@ -162,3 +163,16 @@ QUALIFY rank <= 2000"""
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 2000 best phrases of two and three words of each lang of all documents."""
     return collocations(read_table(spark, sf_dir, "documents")).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("op13_secret_scan")
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The secrets in all documents: pattern kinds, and credential values that are hard to guess."""
+    found = F.col("found")
+    base = F.filter(found, lambda s: s["kind"] != "guess")
+
+    def count(kind):
+        return F.size(F.filter(found, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    counts = [count(k) for k in ("assign", "access", "hex")]
+    return find_secrets(read_table(spark, sf_dir, "documents")).select(
+        "doc_id", *counts, F.sha2(span_list(base), 256).alias("base_sha256"), span_list(found).alias("spans"))
