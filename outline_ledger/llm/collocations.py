@@ -10,7 +10,8 @@ starts one word later.
 Scale.  A task counts the windows of about a million words at a time (NumPy), so frequent windows
 are combined before the one large shuffle, which is by (lang, w1, w2): a frequent word spreads over
 its followers, and a frequent pair has one row for each chunk and third word.  The aggregate and the
-folding need no other shuffle.  Texts are cut at piece ends, so a very long text is not held whole
+folding need no other shuffle.  The pairs (w1, w2) are dealt to ``PASSES`` parts by hash, counted one
+after the other, so only one part's shuffle files are on disk at a time.  Texts are cut at piece ends, so a very long text is not held whole
 in working arrays.  Within a chunk words are told apart by 64-bit hashes, between chunks by their text.
 
 Defined cases: null text is empty; null lang is 'und' (as the text 'und'); repeated rows count each;
@@ -31,6 +32,7 @@ from .words import U, _powers, _T1, _T2, mix
 LEAST = 10
 TOP = 2000
 CHUNK_WORDS = 1 << 20
+PASSES = 2
 SLICE_BYTES = 1 << 22
 PIECE_ENDS = ".,;:!?\x0A\x0B\x0C\x0D"
 
@@ -62,8 +64,9 @@ def _slices(batch):
         yield lang.as_py(), buf[lo:]
 
 
-def _windows(langs: list, rows: list):
-    """Counted windows of the texts ``rows`` (bytes), text i of lang ``langs[i]``, as Arrow batches."""
+def _windows(langs: list, rows: list, part: int = 0, parts: int = 1):
+    """Counted windows of the texts ``rows`` (bytes), text i of lang ``langs[i]``, as Arrow batches;
+    of those whose pair (w1, w2) is of part ``part`` by its hash."""
     # every text ends in a piece end, so no word or window goes over its edge
     buf = _LOWER[np.concatenate([x for r in rows for x in (r, np.full(1, 10, np.uint8))])]
     word = ~_GAP[buf]
@@ -83,7 +86,8 @@ def _windows(langs: list, rows: list):
     live = word[s0:]
     v1, v2 = _T1[buf[s0:]] * p1[pos] * live, _T2[buf[s0:]] * p2[pos] * live
     h = mix(np.add.reduceat(v1, starts - s0) ^ mix(np.add.reduceat(v2, starts - s0)))
-    h ^= mix(lang + U(1))
+    # the part of a pair must not hang on this chunk's numbers of the langs
+    plain, h = h, h ^ mix(lang + U(1))
     del v1, v2, pos, live
     names = pa.array(list(codes_of), pa.string())
     for lo in range(0, len(starts), CHUNK_WORDS):
@@ -95,7 +99,11 @@ def _windows(langs: list, rows: list):
         code, here = np.append(code, [U(0)] * 2), np.append(here, [-1, -1])
         w2 = np.where(here[1:n + 1] == here[:n], code[1:n + 1], U(0))
         w3 = np.where(here[2:n + 2] == here[:n], code[2:n + 2], U(0))
-        keys, count = np.unique((code[:n] << U(42)) | (w2 << U(21)) | w3, return_counts=True)
+        keys = (code[:n] << U(42)) | (w2 << U(21)) | w3
+        if parts > 1:
+            of = np.append(U(0), plain[lo:hi + 2][at])
+            keys = keys[mix(of[code[:n]] ^ mix(of[w2] + U(1))) % U(parts) == part]
+        keys, count = np.unique(keys, return_counts=True)
         first = at + lo
         data = pa.py_buffer(b"".join(buf[a:b].tobytes() for a, b in zip(starts[first], until[first])))
         size = np.concatenate([[0, 0], np.cumsum(until[first] - starts[first])]).astype(np.int64)
@@ -110,7 +118,7 @@ def _windows(langs: list, rows: list):
             yield table.slice(i, 50_000)
 
 
-def count_windows(docs: DataFrame, chunk_words: int = CHUNK_WORDS) -> DataFrame:
+def count_windows(docs: DataFrame, part: int = 0, parts: int = 1, chunk_words: int = CHUNK_WORDS) -> DataFrame:
     """(lang, text) -> (lang, w1, w2, w3, n): padded windows of three words, combined within each chunk."""
     def run(batches):
         langs, rows, size = [], [], 0
@@ -121,28 +129,30 @@ def count_windows(docs: DataFrame, chunk_words: int = CHUNK_WORDS) -> DataFrame:
                 size += len(buf)
                 # six bytes a word and its gap
                 if size >= 6 * chunk_words:
-                    yield from _windows(langs, rows)
+                    yield from _windows(langs, rows, part, parts)
                     langs, rows, size = [], [], 0
         if rows:
-            yield from _windows(langs, rows)
+            yield from _windows(langs, rows, part, parts)
     return docs.mapInArrow(run, "lang string, w1 string, w2 string, w3 string, n long")
 
 
 def phrase_counts(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """(lang, text) -> staged (lang, w1, w2, w3, n, words): counts of phrases of 1 to 3 words that occur ``least``
     times and, with 0 words, of all words of each lang."""
-    windows = count_windows(docs).repartition("lang", "w1", "w2")
-    top = windows.groupBy("lang", "w1", "w2", "w3").agg(F.sum("n").alias("n"))
-    # a rare window counts in its prefixes only; the same clustering serves both aggregates
-    folded = top.withColumn("w3", F.when(F.col("n") >= least, F.col("w3")).otherwise(F.lit("")))
-    folded = stage(folded.groupBy("lang", "w1", "w2", "w3").agg(F.sum("n").alias("n")), "windows", arrow_rows=64)
+    folded = None
+    for part in range(PASSES):
+        windows = count_windows(docs, part, PASSES).repartition("lang", "w1", "w2")
+        top = windows.groupBy("lang", "w1", "w2", "w3").agg(F.sum("n").alias("n"))
+        # a rare window counts in its prefixes only; the same clustering serves both aggregates
+        short = top.withColumn("w3", F.when(F.col("n") >= least, F.col("w3")).otherwise(F.lit("")))
+        short = stage(short.groupBy("lang", "w1", "w2", "w3").agg(F.sum("n").alias("n")), "windows", arrow_rows=64)
+        folded = folded.union(short) if folded else short
     folded.createOrReplaceTempView("collocation_windows")
     sums = folded.sparkSession.sql("""
         SELECT lang, w1, w2, w3, sum(n) AS n, 3 - bit_count(grouping_id()) AS words
         FROM collocation_windows GROUP BY lang, ROLLUP (w1, w2, w3)""")
     padded = "(words = 3 AND w3 = '') OR (words = 2 AND w2 = '')"
     sums = sums.where(f"NOT ({padded}) AND (n >= {int(least)} OR words = 0)")
-    # a window that was folded has no row of its own, so prefixes of a pad are words too
     return stage(sums.select("lang", "w1", "w2", "w3", "n", F.col("words").cast("int").alias("words")), "phrases")
 
 

@@ -137,7 +137,7 @@ WITH p AS (
   FROM documents),
 w AS (SELECT lang, regexp_extract_all(piece, '[^ \\t]+') AS ws FROM p),
 g AS (
-  SELECT lang, k, unnest(list_transform(range(1, greatest(len(ws) - k + 2, 1)), i -> ws[i:i + k - 1])) AS ph
+  SELECT lang, k, unnest(list_transform(range(1, greatest(len(ws) - k + 2, 1)), lambda i: ws[i:i + k - 1])) AS ph
   FROM w, (SELECT unnest([1, 2, 3]) AS k)),
 f AS (SELECT lang, k, ph, count(*) AS c FROM g GROUP BY ALL),
 n AS (SELECT lang, CAST(sum(c) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
