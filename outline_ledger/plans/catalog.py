@@ -54,6 +54,7 @@ def _load_checks() -> None:
     from . import checks_registers  # noqa: F401
     from . import checks_account_analysis  # noqa: F401
     from . import checks_balances  # noqa: F401
+    from . import checks_batch  # noqa: F401
 
 
 _load_checks()
