@@ -155,11 +155,10 @@ def entry_distinct_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distinct_first(d, JOURNAL_ORDER, ["entry_id", "debit", "credit"])
 
 
-@query("entry_specials_join", f"""WITH f AS MATERIALIZED ({SQL_FILLED}),
-e AS (SELECT file_name, entry_id, date, amount FROM f WHERE kind = 0),
-q AS (SELECT file_name, entry_id, amount AS qty FROM f WHERE text = 'Количество')
-SELECT e.file_name, e.entry_id, e.date, e.amount, q.qty
-FROM e LEFT JOIN q ON e.file_name = q.file_name AND e.entry_id = q.entry_id""")
+@query("entry_specials_join", f"""WITH f AS ({SQL_FILLED}),
+q AS (SELECT file_name, entry_id, list(amount) AS qs FROM f WHERE text = 'Количество' GROUP BY file_name, entry_id)
+SELECT e.file_name, e.entry_id, e.date, e.amount, unnest(coalesce(q.qs, [NULL])) AS qty
+FROM (SELECT * FROM f WHERE kind = 0) e LEFT JOIN q ON e.file_name = q.file_name AND e.entry_id = q.entry_id""")
 def entry_specials_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-25 + O-26/O-27: entries left-joined with their quantity rows (fan-out kept)."""
     f = stage(_filled(spark, sf_dir), "filled")
