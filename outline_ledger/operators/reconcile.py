@@ -2,7 +2,7 @@
 
 O-56 control row (second-to-last total), O-35 / O-68 / O-69 per-file nets,
 O-31 side-by-side, O-70 half-even difference, O-34 / O-67 per-account sums,
-O-30 full outer join, O-71 hidden-subtotal detection.  O-72 (greedy removal) is not built.
+O-30 full outer join, O-71 hidden-subtotal detection (O-72, their removal, is in ``analysis``).
 """
 
 from __future__ import annotations
