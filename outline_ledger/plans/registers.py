@@ -11,15 +11,15 @@ from pyspark.sql import functions as F
 
 from ..constants import (BALANCE_CLOSE_TITLE, BALANCE_OPEN_TITLE, BALANCE_TURN_TITLE_NONUPP,
                          BALANCE_TURN_TITLE_UPP, CREDIT_SIDE_SUFFIX, DEBIT_SIDE_SUFFIX, DEBIT_TURN, CREDIT_TURN, DEBIT_CLOSE,
-                         MEASURES, OUTLINE_FILE_COL, OUTLINE_HEADER_SCAN_ROWS, QTY_PREFIX, QUANTITY, TURNOVER_NONUPP_RENAME,
+                         MEASURES, OUTLINE_FILE_COL, OUTLINE_HEADER_SCAN_ROWS, TURNOVER_NONUPP_RENAME,
                          TURNOVER_UPP_RENAME)
-from ..functions.scalars import pad_account, parse_number
+from ..functions.scalars import parse_number
 from ..operators.accounts import suppression_set
 from ..operators.headers import header_rows, order_columns, union_registers
-from ..operators.measures import keep_rows_with_measures, lift_rows
+from ..operators.leaves import leaf_rows
+from ..operators.measures import keep_rows_with_measures
 from ..operators.ordered import RowOrder
-from ..operators.outline import (align_levels, drop_subtotals, exclude_service_rows, infer_quantity_rows,
-                                 mark_missing_label, max_level, not_in, outline_paths, trim_after_total)
+from ..operators.outline import align_levels, exclude_service_rows, max_level
 from ..operators.reconcile import AFTER, BEFORE, control_row, file_check, nets
 from ..operators.stage import stage
 
@@ -86,22 +86,13 @@ def contra_long_raw(rows: DataFrame) -> DataFrame:
         .where(F.col("value").isNotNull()).drop("p")
 
 
-def flatten_outline(rows: DataFrame, order: RowOrder = RAW_ORDER) -> DataFrame:
-    """The outline chain (O-52, O-22, O-62, O-41, O-51/O-50, O-53, O-23, O-55,
-    O-15, O-19) on projected rows with a ``Субконто`` label."""
+def flatten_outline(rows: DataFrame, order: RowOrder = RAW_ORDER):
+    """The outline chain (O-52, O-22, O-62, O-41, O-51/O-50, O-53, O-23, O-55, O-15, O-19) on
+    projected rows with a ``Субконто`` label -> (leaf rows, control rows, depth)."""
     d = stage(rows.withColumnRenamed(LABEL, "label"), "projected")
-    d = stage(infer_quantity_rows(d, order), "marked")
-    d = trim_after_total(d, order)
-    d = mark_missing_label(d)
-    d = d.withColumn("label", pad_account("label"))
     depth = max_level(d)
-    d = outline_paths(d, order, depth=depth, path_label=F.when(F.col("label") != QUANTITY, F.col("label")))
-    d = lift_rows(stage(d, "paths"), order, MEASURES, offset=1, prefix=QTY_PREFIX,
-                  row_is=F.col("label") == QUANTITY)
-    d = stage(d.where(not_in("label", [QUANTITY])), "lifted")
     ctl = control_row(d, order, MEASURES)
-    d = drop_subtotals(d, order)
-    d = exclude_service_rows(d)
+    d = exclude_service_rows(leaf_rows(d, order, MEASURES, depth=depth))
     d = keep_rows_with_measures(d, MEASURES)
     d = d.withColumns({m: F.col(m).cast("decimal(18,2)") for m in MEASURES})
     return d.withColumnRenamed("label", LABEL), ctl, depth
