@@ -55,6 +55,7 @@ def _load_checks() -> None:
     from . import checks_account_analysis  # noqa: F401
     from . import checks_balances  # noqa: F401
     from . import checks_batch  # noqa: F401
+    from . import checks_periods  # noqa: F401
 
 
 _load_checks()
