@@ -10,11 +10,9 @@ feature's shares in the classes over the vocabulary, scaled to length 1; so comm
 only length makes significant weigh little, whichever label they lean to.
 
 Score.  Every text looks up its whole text's features.  Postings of a feature lie in
-blocks of examples with the block's largest weight; features are taken by falling bound,
-blocks whose bounds cannot reach the current k-th similarity are skipped, the others are
-scored exactly.  For texts of more than ``SPARSE`` features bounds of blocks are too high to skip
-any; a matrix product in float32 over all examples names those that can be among the nearest,
-and they are scored exactly.  The ``neighbours`` nearest vote with weight sim^2 / (1 - sim + 0.05), times the
+blocks of examples with the block's largest weight; blocks are taken by falling bound, those whose bounds cannot reach the current k-th similarity are skipped, the others are
+scored exactly: all texts take this path, ``TEXTS`` of them at a time, and a block is multiplied with
+those texts only whose bounds call for it.  The ``neighbours`` nearest vote with weight sim^2 / (1 - sim + 0.05), times the
 number of training rows that an example of its class stands for; the
 score is the weighted share of label 1, smoothed toward the base rate of examples
 with no feature.  A text without any feature gets that rate; so does an empty text.
@@ -36,7 +34,7 @@ from .staging import small_side, stage, unstage
 from .words import U, mix, text_slices, word_hashes
 
 FEATURES, LEAST_G2, EXAMPLES, NEIGHBOURS, BLOCK = 4096, 15.0, 4000, 25, 64
-SPARSE, TEXTS, SLACK = 6, 128, 1e-4
+TEXTS = 128
 PREFIXES = (4, 5)
 
 
@@ -141,68 +139,65 @@ class BlockMaxIndex:
         self.block_max = np.zeros((n_features, self.n_blocks), np.float32)
         np.maximum.at(self.block_max, (f, self.example // BLOCK), self.weight.astype(np.float32))
 
-    def nearest(self, f: np.ndarray, w: np.ndarray, k: int):
-        """Exact k largest cosines as (examples, similarities); ties to the lower example."""
-        bound = w.astype(np.float32) @ self.block_max[f] * np.float32(1.00001)
-        order = np.argsort(-bound, kind="stable")
-        ex, sim = np.zeros(0, np.int64), np.zeros(0)
-        done, take = 0, max(4, -(-2 * k // BLOCK))
-        while done < len(order) and bound[order[done]] > 0:
-            if len(sim) >= k and bound[order[done]] < sim[k - 1]:
-                break
-            blocks = np.zeros(self.n_blocks, bool)
-            blocks[order[done:done + take]] = True
-            done += take
-            score = np.zeros(len(self.labels))
-            for i, x in zip(f, w):
-                a, b = self.at[i], self.at[i + 1]
-                e = self.example[a:b]
-                live = blocks[e // BLOCK]
-                score[e[live]] += x * self.weight[a:b][live]
-            e = np.flatnonzero(score)
-            ex, sim = np.concatenate([ex, e]), np.concatenate([sim, score[e]])
-            best = np.lexsort((ex, -np.round(sim, 12)))[:k]
-            ex, sim = ex[best], sim[best]
-            take *= 2
-        return ex, sim
+        # each block's own features and their weights, a column for each of its examples
+        own = np.unique(f * self.n_blocks + self.example // BLOCK)
+        self.block_features = [np.sort(own[own % self.n_blocks == b] // self.n_blocks) for b in range(self.n_blocks)]
+        self.n_features = n_features
+
+    def _weights(self, b: int) -> np.ndarray:
+        """Weights of block ``b`` by its features and examples; made once in each process that scores."""
+        if "matrices" not in self.__dict__:
+            self.matrices = {}
+            f = np.repeat(np.arange(self.n_features), np.diff(self.at))
+            block = self.example // BLOCK
+            by = np.argsort(block, kind="stable")
+            cut = np.searchsorted(block[by], np.arange(self.n_blocks + 1))
+            for i, mine in enumerate(self.block_features):
+                p = by[cut[i]:cut[i + 1]]
+                m = np.zeros((len(mine), min(BLOCK, len(self.labels) - i * BLOCK)))
+                m[np.searchsorted(mine, f[p]), self.example[p] - i * BLOCK] = self.weight[p]
+                self.matrices[i] = m
+        return self.matrices[b]
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "dense"}
-
-    def _dense(self) -> np.ndarray:
-        """Weights by feature and example, made once in each process that scores."""
-        if "dense" not in self.__dict__:
-            self.dense = np.zeros((len(self.at) - 1, len(self.labels)), np.float32)
-            self.dense[np.repeat(np.arange(len(self.at) - 1), np.diff(self.at)), self.example] = self.weight
-            by = np.argsort(self.example, kind="stable")
-            self.row_f = np.repeat(np.arange(len(self.at) - 1), np.diff(self.at))[by]
-            self.row_w = self.weight[by]
-            self.row_at = np.searchsorted(self.example[by], np.arange(len(self.labels) + 1))
-        return self.dense
+        return {k: v for k, v in self.__dict__.items() if k != "matrices"}
 
     def nearest_of_all(self, texts: list, k: int) -> list:
-        """``nearest`` of each of many texts [(f, w)]."""
-        found = [self.nearest(f, w, k) if len(f) <= SPARSE else None for f, w in texts]
-        rest = [i for i, x in enumerate(found) if x is None]
-        for lo in range(0, len(rest), TEXTS):
-            part, dense = rest[lo:lo + TEXTS], self._dense()
-            q = np.zeros((len(part), len(dense)), np.float32)
-            for r, i in enumerate(part):
-                q[r, texts[i][0]] = texts[i][1]
-            rough = q @ dense
-            for r, i in enumerate(part):
-                found[i] = self._exact(rough[r], *texts[i], k)
-        return found
-
-    def _exact(self, rough: np.ndarray, f: np.ndarray, w: np.ndarray, k: int):
-        least = np.partition(rough, -k)[-k] - SLACK if len(rough) > k else 0
-        e = np.flatnonzero(rough >= max(least, 0))
-        full = np.zeros(len(self.at) - 1)
-        full[f] = w
-        sim = np.array([full[self.row_f[a:b]] @ self.row_w[a:b] for a, b in zip(self.row_at[e], self.row_at[e + 1])])
-        e, sim = e[sim > 0], sim[sim > 0]
-        best = np.lexsort((e, -np.round(sim, 12)))[:k]
-        return e[best], sim[best]
+        """The exact k largest cosines of each text (f, w) as (examples, similarities); ties to the lower example."""
+        out = []
+        for lo in range(0, len(texts), TEXTS):
+            out += self._nearest(texts[lo:lo + TEXTS], k)
+        return out
+
+    def _nearest(self, texts: list, k: int) -> list:
+        q = np.zeros((len(texts), self.n_features))
+        for r, (f, w) in enumerate(texts):
+            q[r, f] = w
+        bound = np.stack([w.astype(np.float32) @ self.block_max[f] for f, w in texts]) * np.float32(1.00001)
+        found = np.zeros((len(texts), len(self.labels)))
+        floor = np.zeros(len(texts))
+        todo = bound > 0
+        # blocks of the highest bounds first: they set the similarity that the others must reach
+        rank = np.argsort(np.argsort(-bound, axis=1, kind="stable"), axis=1, kind="stable")
+        first = -(-2 * k // BLOCK)
+        for lo, hi in ((0, first), (first, 4 * first), (4 * first, self.n_blocks)):
+            turn = todo & (rank >= lo) & (rank < hi) & (bound >= floor[:, None])
+            for b in np.flatnonzero(turn.any(axis=0)):
+                rows, mine = np.flatnonzero(turn[:, b]), self.block_features[b]
+                found[rows, b * BLOCK:b * BLOCK + BLOCK] = q[np.ix_(rows, mine)] @ self._weights(b)
+            if found.shape[1] > k:
+                floor = np.partition(found, -k, axis=1)[:, -k]
+        out = []
+        for row in found:
+            e = np.flatnonzero(row >= max(np.partition(row, -k)[-k] - 1e-9, 0) if len(row) > k else row > 0)
+            e = e[row[e] > 0]
+            best = e[np.lexsort((e, -np.round(row[e], 12)))[:k]]
+            out.append((best, row[best]))
+        return out
+
+    def nearest(self, f: np.ndarray, w: np.ndarray, k: int):
+        """``nearest_of_all`` of one text."""
+        return self._nearest([(f, w)], k)[0]
 
 
 def score_toxicity(docs: DataFrame, train: DataFrame, features: int = FEATURES, least_g2: float = LEAST_G2,
@@ -252,7 +247,7 @@ def score_toxicity(docs: DataFrame, train: DataFrame, features: int = FEATURES,
                         v = sim * sim / (1.05 - np.minimum(sim, 1.0)) * stands_for[index.labels[e]]
                         s = float((v @ index.labels[e] + base) / (v.sum() + 1))
                         near = [{"doc_id": index.ids[i], "label": int(index.labels[i]), "similarity": float(x)}
-                                for i, x in zip(e[:5], sim[:5])]
+                                for i, x in zip(e, sim)]
                     score.append(min(1.0, max(0.0, s)))
                     evidence.append(near)
                 yield pa.RecordBatch.from_arrays(

@@ -16,7 +16,7 @@ def test_toxic_words_that_clean_rows_use_too(spark):
     assert {e["label"] for e in got[2]["evidence"]} == {0}  # clean examples vote
 
 
-def test_matrix_finds_the_same_neighbours():
+def test_short_and_long_texts_find_the_same_neighbours_as_all_cosines():
     rng = np.random.default_rng(2)
 
     def text(n):
@@ -25,8 +25,16 @@ def test_matrix_finds_the_same_neighbours():
         return f, w / np.linalg.norm(w)
 
     rows = [text(rng.integers(1, 60)) for _ in range(900)]
-    index = T.BlockMaxIndex(rows, np.arange(900) % 2, list(range(900)), 200)
-    texts = [text(rng.integers(T.SPARSE + 1, 90)) for _ in range(300)]
-    for (f, w), (e, sim) in zip(texts, index.nearest_of_all(texts, 25)):
+    rows += rows[:40]  # ties
+    labels = np.arange(940) % 2
+    index = T.BlockMaxIndex(rows, labels, list(range(940)), 200)
+    dense = np.zeros((940, 200))
+    for i, at in enumerate(index.ids):
+        dense[i, rows[at][0]] = rows[at][1]
+    texts = [text(rng.integers(1, 90)) for _ in range(300)] + [(np.zeros(0, np.int64), np.zeros(0))] + rows[:30]
+    for (f, w), (e, sim) in zip(texts, index.nearest_of_all(texts, 25), strict=True):
+        all_sim = dense[:, f] @ w
+        want = [i for i in np.lexsort((np.arange(940), -np.round(all_sim, 12)))[:25] if all_sim[i] > 0]
+        assert list(e) == want and np.allclose(sim, all_sim[want], atol=1e-12)
         e1, sim1 = index.nearest(f, w, 25)
         assert list(e) == list(e1) and np.allclose(sim, sim1, atol=1e-12)
