@@ -13,13 +13,17 @@ at most k + 1 rows for a query, and the last ranking is over these.  A block hol
 ``BLOCK_ROWS`` rows, so the memory of a task does not depend on the input.
 
 Defined cases: vectors that are null, hold null or non-finite components or have another
-length than the query take no part in its ranking; a null vec_id takes no part; rows that
+length than the query take no part in its ranking; finite components of any size count (a quantised
+one beyond 64 bits as the nearest long), ranks go by the exact inner products, and a score beyond 64 bits
+is returned as the nearest long; a null vec_id takes no part; rows that
 repeat a vec_id are candidates each (not for their own id); other columns are ignored; an
 empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -29,18 +33,19 @@ from pyspark.sql import functions as F
 from .staging import stage, unstage
 
 BLOCK_ROWS, QUERY_ROWS = 16_384, 256
+LOW = (1 << 62) - 1  # a score's low bits, stored apart from the high ones
 
 
 def slices_of(x: np.ndarray):
     """(bitmaps (dims, bits, words) of x - low, low per dimension, bits)."""
     rows, dims = x.shape
     low = x.min(axis=0)
-    v = x - low
+    v = x.astype(np.uint64) - low.astype(np.uint64)  # differences of 64-bit numbers, without a sign
     bits = max(1, int(v.max()).bit_length())
     words = -(-rows // 64)
     out = np.zeros((dims, bits, words * 8), np.uint8)
     for b in range(bits):
-        out[:, b, :-(-rows // 8)] = np.packbits(((v >> b) & 1).astype(np.uint8), axis=0, bitorder="little").T
+        out[:, b, :-(-rows // 8)] = np.packbits(((v >> np.uint64(b)) & np.uint64(1)).astype(np.uint8), axis=0, bitorder="little").T
     return out.view(np.uint64), low, bits
 
 
@@ -48,7 +53,7 @@ def score_slices(bitmaps: np.ndarray, query: np.ndarray):
     """Bit slices (least first) of sum(|q| * v) over dimensions, v complemented where q < 0."""
     columns: dict[int, list] = {}
     for d in np.flatnonzero(query):
-        m = int(abs(query[d]))
+        m = abs(int(query[d]))
         s = bitmaps[d] if query[d] > 0 else ~bitmaps[d]
         for j in range(m.bit_length()):
             if m >> j & 1:
@@ -100,6 +105,14 @@ def top_rows(slices: list, rows: int, k: int) -> np.ndarray:
     return np.flatnonzero(both[:rows])
 
 
+def _scores(x: np.ndarray, query: np.ndarray):
+    """Inner products without overflow: 64-bit numbers where they suffice, else Python's."""
+    top = [max((abs(int(v)) for v in (a.min(), a.max())), default=0) for a in (x, query)] if x.size else [0, 0]
+    if top[0] * top[1] * len(query) < 1 << 63:
+        return x @ query
+    return x.astype(object) @ query.astype(object)
+
+
 def _quantised(vectors: DataFrame, scale: int) -> DataFrame:
     v = (vectors.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
          .where("vec_id IS NOT NULL AND v IS NOT NULL AND size(v) > 0")
@@ -145,22 +158,29 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256,
                 order = np.argsort(ids, kind="stable")
                 ids, x = ids[order], x[order]
                 bitmaps, _, _ = slices_of(x)
-                out = [[], [], []]
+                out = [[], [], [], []]
                 own = np.frombuffer(row["query_ids"], np.int64)
                 for qid, q in zip(own, np.frombuffer(row["queries"], np.int64).reshape(len(own), row["dims"])):
                     same = int(np.searchsorted(ids, qid, "right") - np.searchsorted(ids, qid))
                     best = top_rows(score_slices(bitmaps, q), len(ids), k + same)
                     best = best[ids[best] != qid]
-                    score = x[best] @ q
-                    keep = np.lexsort((ids[best], -score))[:k]
+                    score = _scores(x[best], q)
+                    keep = sorted(range(len(best)), key=lambda i: (-int(score[i]), ids[best[i]]))[:k]
                     out[0] += [int(qid)] * len(keep)
                     out[1] += ids[best[keep]].tolist()
-                    out[2] += score[keep].tolist()
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out],
-                                                 names=["query_id", "vec_id", "score"])
-
-    found = stage(pairs.mapInArrow(run, "query_id bigint, vec_id bigint, score bigint"), "topk-found", arrow_rows=4)
+                    out[2] += [Decimal(int(score[i]) >> 62) for i in keep]
+                    out[3] += [int(score[i]) & LOW for i in keep]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, pa.decimal128(38, 0) if n == "high" else pa.int64()) for n, c in zip(names, out)], names=names)
+
+    names = ["query_id", "vec_id", "high", "low"]
+    found = stage(pairs.mapInArrow(run, "query_id bigint, vec_id bigint, high decimal(38,0), low bigint"), "topk-found",
+                  arrow_rows=4)
     unstage(index, asked)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = Window.partitionBy("query_id").orderBy(F.desc("high"), F.desc("low"), "vec_id")
+    fits = F.col("high").between(-2, 1)
+    score = (F.when(fits, F.when(fits, F.col("high")).cast("long") * F.lit(LOW + 1) + F.col("low"))
+             .when(F.col("high") > 0, F.lit((1 << 63) - 1)).otherwise(F.lit(-(1 << 63))))
+    found = found.withColumn("score", score.cast("long"))
     return (found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))

@@ -43,3 +43,23 @@ def test_slices():
     want = x @ q
     assert len(set(total - want)) == 1 and set(K.top_rows(K.score_slices(bitmaps, q), 130, 4)) == set(
         np.flatnonzero(want >= np.sort(want)[-4]))
+
+
+def test_large_components(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, (rng.standard_normal(4) * 10.0 ** rng.integers(0, 17)).tolist()) for i in range(120)]
+    rows += [(200, [3e16] * 4), (250, [-3e16, 3e16, 3e16, 3e16]), (300, [1e16] * 4), (301, [1e300, -1e300, 0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    top, low = (1 << 63) - 1, -(1 << 63)
+
+    def whole(v):
+        return [max(low, min(top, int(np.floor(np.float64(c) * 256)))) for c in v]
+
+    q = {i: whole(v) for i, v in rows}
+    want = set()
+    for i in range(0, 301, 50):
+        if i in q:
+            best = sorted((-sum(a * b for a, b in zip(q[i], x)), j) for j, x in q.items() if j != i)[:5]
+            want |= {(i, n + 1, j, max(low, min(top, -s))) for n, (s, j) in enumerate(best)}
+    got = K.top_k(df, df.where("vec_id % 50 = 0"), 5, 256, 40, 3).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want) and any(r["score"] == top for r in got)
