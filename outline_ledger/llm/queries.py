@@ -97,7 +97,19 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
-@query("op7_exact_topk")
+_TOPK_ORACLE = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 256)) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0),
+s AS (
+  SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+  FROM (SELECT DISTINCT * FROM v WHERE vec_id % 50 = 0) a JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q))
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score
+FROM s QUALIFY rank <= 5"""
+
+
+@query("op7_exact_topk", _TOPK_ORACLE)
 def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 best rows of all embeddings for each vec_id divisible by 50."""
     vectors = read_table(spark, sf_dir, "embeddings")
@@ -116,7 +128,21 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"))
 
 
-@query("op10_warc_archives")
+_ARCHIVE_ORACLE = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, upper(sha1(coalesce(html, ''))) AS hex FROM pages),
+d AS (
+  SELECT page_id, n, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      CAST(1 + ((CAST('0x' || substr(hex, 5 * (i // 4) + 1, 5) AS INT) >> CAST(15 - 5 * (i % 4) AS INT)) & 31) AS BIGINT), 1)), '')
+    AS digest FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY digest, n) AS first FROM d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM f"""
+
+
+@query("op10_warc_archives", _ARCHIVE_ORACLE)
 def op10_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's record, written into ZIP archives and read back."""
     return archive_round_trip(read_table(spark, sf_dir, "pages"), least_bytes=0).select(
