@@ -11,8 +11,8 @@ only length makes significant weigh little, whichever label they lean to.
 
 Score.  Every text looks up its whole text's features.  Postings of a feature lie in
 blocks of examples with the block's largest weight; blocks are taken by falling bound, those whose bounds cannot reach the current k-th similarity are skipped, the others are
-scored exactly: all texts take this path, ``TEXTS`` of them at a time, and a block is multiplied with
-those texts only whose bounds call for it.  The ``neighbours`` nearest vote with weight sim^2 / (1 - sim + 0.05), times the
+scored exactly: all texts take this path, ``TEXTS`` of them at a time, and a block is multiplied (in
+float32) with those texts whose bounds call for it, and what may be among the nearest by more than rounding is scored exactly.  The ``neighbours`` nearest vote with weight sim^2 / (1 - sim + 0.05), times the
 number of training rows that an example of its class stands for; the
 score is the weighted share of label 1, smoothed toward the base rate of examples
 with no feature.  A text without any feature gets that rate; so does an empty text.
@@ -34,7 +34,7 @@ from .staging import small_side, stage, unstage
 from .words import U, mix, text_slices, word_hashes
 
 FEATURES, LEAST_G2, EXAMPLES, NEIGHBOURS, BLOCK = 4096, 15.0, 4000, 25, 64
-TEXTS = 128
+TEXTS, SLACK = 128, 1e-4
 PREFIXES = (4, 5)
 
 
@@ -143,6 +143,9 @@ class BlockMaxIndex:
         own = np.unique(f * self.n_blocks + self.example // BLOCK)
         self.block_features = [np.sort(own[own % self.n_blocks == b] // self.n_blocks) for b in range(self.n_blocks)]
         self.n_features = n_features
+        by = np.argsort(self.example, kind="stable")
+        self.row_f, self.row_w = f[by], self.weight[by]
+        self.row_at = np.searchsorted(self.example[by], np.arange(len(order) + 1))
 
     def _weights(self, b: int) -> np.ndarray:
         """Weights of block ``b`` by its features and examples; made once in each process that scores."""
@@ -154,7 +157,7 @@ class BlockMaxIndex:
             cut = np.searchsorted(block[by], np.arange(self.n_blocks + 1))
             for i, mine in enumerate(self.block_features):
                 p = by[cut[i]:cut[i + 1]]
-                m = np.zeros((len(mine), min(BLOCK, len(self.labels) - i * BLOCK)))
+                m = np.zeros((len(mine), min(BLOCK, len(self.labels) - i * BLOCK)), np.float32)
                 m[np.searchsorted(mine, f[p]), self.example[p] - i * BLOCK] = self.weight[p]
                 self.matrices[i] = m
         return self.matrices[b]
@@ -170,29 +173,43 @@ class BlockMaxIndex:
         return out
 
     def _nearest(self, texts: list, k: int) -> list:
-        q = np.zeros((len(texts), self.n_features))
+        q = np.zeros((self.n_features, len(texts)), np.float32)
         for r, (f, w) in enumerate(texts):
-            q[r, f] = w
+            q[f, r] = w
         bound = np.stack([w.astype(np.float32) @ self.block_max[f] for f, w in texts]) * np.float32(1.00001)
-        found = np.zeros((len(texts), len(self.labels)))
+        found = np.zeros((len(self.labels), len(texts)), np.float32)
         floor = np.zeros(len(texts))
-        todo = bound > 0
         # blocks of the highest bounds first: they set the similarity that the others must reach
-        rank = np.argsort(np.argsort(-bound, axis=1, kind="stable"), axis=1, kind="stable")
-        first = -(-2 * k // BLOCK)
-        for lo, hi in ((0, first), (first, 4 * first), (4 * first, self.n_blocks)):
-            turn = todo & (rank >= lo) & (rank < hi) & (bound >= floor[:, None])
+        by = np.argsort(-bound, axis=1, kind="stable")
+        first = min(-(-2 * k // BLOCK), self.n_blocks)
+        leading = np.zeros(bound.shape, bool)
+        np.put_along_axis(leading, by[:, :first], True, axis=1)
+        for part in (leading, ~leading):
+            turn = part & (bound > 0) & (bound >= floor[:, None] - SLACK)
             for b in np.flatnonzero(turn.any(axis=0)):
-                rows, mine = np.flatnonzero(turn[:, b]), self.block_features[b]
-                found[rows, b * BLOCK:b * BLOCK + BLOCK] = q[np.ix_(rows, mine)] @ self._weights(b)
-            if found.shape[1] > k:
-                floor = np.partition(found, -k, axis=1)[:, -k]
+                rows, here = np.flatnonzero(turn[:, b]), slice(b * BLOCK, b * BLOCK + BLOCK)
+                mine = q[self.block_features[b]]  # a column for each text
+                if 2 * len(rows) > len(texts):
+                    found[here] = self._weights(b).T @ mine
+                else:
+                    found[here, rows] = self._weights(b).T @ mine[:, rows]
+            if part is leading and len(self.labels) > k:
+                best = (by[:, :first, None] * BLOCK + np.arange(BLOCK)).reshape(len(texts), -1)
+                seen = np.where(best < len(self.labels), found[np.minimum(best, len(self.labels) - 1), np.arange(len(texts))[:, None]], 0)
+                floor = np.partition(seen, -k, axis=1)[:, -k] if seen.shape[1] > k else floor
         out = []
-        for row in found:
-            e = np.flatnonzero(row >= max(np.partition(row, -k)[-k] - 1e-9, 0) if len(row) > k else row > 0)
-            e = e[row[e] > 0]
-            best = e[np.lexsort((e, -np.round(row[e], 12)))[:k]]
-            out.append((best, row[best]))
+        full = np.zeros(self.n_features)
+        for row, (f, w) in zip(np.ascontiguousarray(found.T), texts):
+            # all that can be among the k by more than the rounding of float32, with exact similarities
+            least = max(np.partition(row, -k)[-k] - SLACK, 0) if len(row) > k else 0
+            e = np.flatnonzero((row >= least) & (row > 0))
+            full[f] = w
+            cut = np.cumsum(np.append(0, self.row_at[e + 1] - self.row_at[e]))
+            at = np.repeat(self.row_at[e] - cut[:-1], np.diff(cut)) + np.arange(cut[-1])
+            sim = np.bincount(np.repeat(np.arange(len(e)), np.diff(cut)), full[self.row_f[at]] * self.row_w[at], len(e))
+            full[f] = 0
+            best = np.lexsort((e, -np.round(sim, 12)))[:k]
+            out.append((e[best], sim[best]))
         return out
 
     def nearest(self, f: np.ndarray, w: np.ndarray, k: int):
