@@ -6,9 +6,8 @@
    frequencies over all passages give the idf.  Terms in more than ``MAX_DF`` of the passages are
    stop terms without weight, except for items that would keep fewer than ``LEAST_TERMS`` terms;
    the last check below counts all words.
-3. Randomised SVD of the TF-IDF passages of documents and of the (weighted) items.  It is fitted
-   on about ``FIT_PASSAGES`` passages, those of the documents with the smallest hash, and
-   on all if there are no more; all passages are searched.  Every task adds up its part of A'(A omega) for a seeded random omega; the parts are summed
+3. Randomised SVD of the TF-IDF passages of all documents and of the (weighted) items.  Every
+   task adds up its part of A'(A omega) for a seeded random omega; the parts are summed
    in Spark by groups of rows, and the driver solves the small Nystroem problem for the
    right singular vectors.  Vocabulary and rank bound all that reaches the driver.
 4. All passages and items are projected; pairs with a cosine of ``COSINE`` or more are
@@ -40,7 +39,6 @@ BLOCK, PIECE, RANK, OVERSAMPLE = 32, 48, 256, 16
 COSINE, STRONG, WEAK, ANSWER, ANSWER_WORDS = 0.45, 0.7, 0.5, 0.75, 8
 ITEMS, ITEM_WORDS = 256, 100_000
 MAX_DF, LEAST_TERMS = 0.02, 4
-FIT_PASSAGES = 200_000
 
 
 class Items:
@@ -174,24 +172,21 @@ def _singular_vectors(coded: DataFrame, items: Items, idf: np.ndarray, passages:
     def omega():
         return np.random.default_rng(seed).standard_normal((d, width)).astype(np.float32)
 
-    part = min(1.0, FIT_PASSAGES / max(1, passages))
-    chosen = F.pmod(F.xxhash64("codes"), F.lit(1 << 20)) < int(part * (1 << 20))
-
     def run(batches):
-        om, g = omega(), np.zeros((d, width), np.float32)
+        om, g = omega(), np.zeros((d, width))
         for batch in batches:
             codes, _, runs, _ = _decoded(batch)
             _sketch_part(codes, runs, idf, om, g)
         for k in range(0, d, rows_per_group):
             yield pa.RecordBatch.from_arrays(
-                [pa.array([k]), pa.array([g[k:k + rows_per_group].tobytes()], pa.binary())], names=["k", "g"])
+                [pa.array([k]), pa.array([g[k:k + rows_per_group].astype(np.float32).tobytes()], pa.binary())], names=["k", "g"])
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = sum(np.frombuffer(x, np.float32).astype(np.float64) for x in pdf["g"])
         return pd.DataFrame({"k": [pdf["k"].iloc[0]], "g": [total.tobytes()]})
 
     # as many partial sums as the cluster runs tasks, whatever the number of passages
-    few = coded.where(chosen).select("codes").coalesce(2 * spark.sparkContext.defaultParallelism)
+    few = coded.select("codes").coalesce(2 * spark.sparkContext.defaultParallelism)
     parts = few.mapInArrow(run, "k bigint, g binary").groupBy("k").applyInPandas(add, "k bigint, g binary").collect()
     om, g = omega().astype(np.float64), np.zeros((d, width))
     for r in parts:
