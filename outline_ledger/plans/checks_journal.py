@@ -64,14 +64,16 @@ def _with_ids(spark, sf_dir):
     return entry_ids(_journal(spark, sf_dir), JOURNAL_ORDER, document="document", out="entry_id")
 
 
-def _filled(spark, sf_dir):
+def _filled(spark, sf_dir, *cols):
+    """Dated rows: keys, date, entry_id and ``cols`` (without any: all); what is not asked for is not staged."""
     d = _with_ids(spark, sf_dir).withColumn("date", parse_timestamp("date_text"))
+    d = d.select(*KEYS, *cols, "entry_id", "date") if cols else d
     d = fill_entries(stage(d, "ids"), JOURNAL_ORDER, ["date", "entry_id"])
     return d.where(F.col("date").isNotNull())
 
 
 def _lines(spark, sf_dir):
-    return line_numbers(stage(_filled(spark, sf_dir), "filled"), JOURNAL_ORDER, ["date", "entry_id"])
+    return line_numbers(stage(_filled(spark, sf_dir, "text"), "filled"), JOURNAL_ORDER, ["date", "entry_id"])
 
 
 SQL_IDS = f"""WITH j AS ({JOURNAL_SQL})
@@ -236,7 +238,7 @@ def journal_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ------------------------------------------------------------ whole posting reports and cards
 def raw_journal(spark: SparkSession, sf_dir: str, header: list, entry: list[str], quantity: list[str], text: list[str]) -> DataFrame:
     """raw_rows of the journal: a title row, the header row, then one row per journal row."""
-    j = stage(ordinal(_journal(spark, sf_dir), "row_no", JOURNAL_ORDER), "journal-numbered")
+    j = stage(ordinal(_journal(spark, sf_dir), "row_no", JOURNAL_ORDER).drop("ok", "ln", "pk", "sk", "px"), "journal-numbered")
 
     def cells(exprs):
         return F.array(*[F.expr(e).cast("string") for e in exprs])
