@@ -1,8 +1,10 @@
 """What keeps a hot file spread over tasks, and what is shuffled and staged, of journals and analyses."""
 from pyspark.sql import functions as F
 
+from outline_ledger.constants import ANALYSIS_FROM_CREDIT, ANALYSIS_TO_DEBIT
 from outline_ledger.operators.ordered import RowOrder, ordinal, with_file_facts
 from outline_ledger.plans import checks_journal, journals
+from outline_ledger.plans.analysis import resolve_analysis
 from tests.conftest import SF_SMALL
 
 ORDER = RowOrder("file_name", ("row_no",), block_rows=4)
@@ -60,3 +62,20 @@ def test_entry_lines_stage_what_they_need(spark, monkeypatch):
     checks_journal.entry_lines(spark, SF_SMALL)
     needed = sorted([*checks_journal.KEYS, "text", "entry_id", "date"])
     assert {name: sorted(cols) for name, cols in staged.items()} == {"ids": needed, "filled": needed}
+
+
+def test_rows_of_an_analysis_are_spread(spark):
+    head = ["Счет", "Кор.счет", ANALYSIS_FROM_CREDIT, ANALYSIS_TO_DEBIT]
+    rows = [("hot", 1, 0, False, head)] + [("hot", 5 + (k << 17), 1, False, ["60", "51", "1", "2"]) for k in range(40)]
+    raw = spark.createDataFrame(rows, "file_name string, row_no long, level int, italic boolean, cells array<string>")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        found, bad = resolve_analysis(raw, "upp")
+        tasks = found.groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(r["count"] for r in tasks) == 40 and len(tasks) > 3
+    assert bad.count() == 0
