@@ -4,12 +4,13 @@ import random
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from outline_ledger.constants import CUR_PREFIX, MEASURES, NOT_FILLED, QTY_PREFIX, QUANTITY
 from outline_ledger.operators.ordered import RowOrder, ordinal
 from outline_ledger.plans import balances
-from outline_ledger.plans.derived import lineitem_outline, lineitem_outline_sql
+from outline_ledger.plans.derived import lineitem_money, lineitem_outline, lineitem_outline_sql, numbered
 
 SCHEMA = ("file_name string, row_no long, level int, marked boolean, label string, what string, "
           + ", ".join(f"`{m}` decimal(18,4)" for m in MEASURES) + ", contra_values array<decimal(18,4)>")
@@ -86,7 +87,7 @@ def test_register_is_shuffled_once_by_blocks(spark):
     assert "BroadcastHashJoin" in text and text.split("== Initial Plan ==")[0].count("Exchange hashpartitioning") == 1
 
 
-def test_register_from_one_exchange_equals_its_sql(spark, tmp_path):
+def _line_items(spark, tmp_path):
     rnd = random.Random(3)
     maybe = [None] + [1] * 20
     rows = [(rnd.randint(1, 60), rnd.choice([None, *range(1, 30)]), rnd.randint(1, 3) if rnd.choice(maybe) else None, float(rnd.randint(1, 50)),
@@ -94,12 +95,32 @@ def test_register_from_one_exchange_equals_its_sql(spark, tmp_path):
             for _ in range(600)]
     spark.createDataFrame(rows + rows[:50], "l_orderkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, "
                                             "l_returnflag string, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
+
+
+def test_register_from_one_exchange_equals_its_sql(spark, tmp_path):
+    _line_items(spark, tmp_path)
     spark.read.parquet(f"{tmp_path}/lineitem.parquet").createOrReplaceTempView("lineitem")
     want, got = spark.sql(lineitem_outline_sql()), lineitem_outline(spark, str(tmp_path))
     assert got.dtypes == want.dtypes
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
 
 
+def test_numbers_of_money_rows_are_those_of_the_register(spark, tmp_path):
+    """Also where keys are null or repeat; and the rows stay where their grouping put them."""
+    _line_items(spark, tmp_path)
+    money = lineitem_money(spark, str(tmp_path), 8)
+    at = Window.partitionBy("file_name", "k1", "k2", "b").orderBy("k3", "k4")
+    plan = money.withColumn("n", F.row_number().over(at))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" in plan and "Exchange" not in plan.split("Union")[0]
+    rows = [F.struct(F.lit(k).alias("k5")) for k in (0, 1)]
+    got = numbered(money, [(F.col("file_name") == "turnover_R", [*rows, F.struct(F.lit(2).alias("k5"))]), (F.lit(True), rows)])
+    reg = lineitem_outline(spark, str(tmp_path))
+    reg = reg.unionByName(reg.where("k5 = 1 AND file_name = 'turnover_R'").withColumn("k5", F.lit(2).cast("long")))
+    want = ordinal(reg, "row_no", RowOrder("file_name", ("k1", "k2", "k3", "k4", "k5"), ("k1", "k2", "b3")))
+    keys = ["file_name", "k1", "k2", "k3", "k4", "k5", "row_no"]
+    assert sorted(got.select(*keys).collect(), key=str) == sorted(want.select(*keys).collect(), key=str)
+
+
 def test_ordinal_with_null_keys(spark):
     rows = [(f, i, k) for f in ("a", None) for k in (None, "x", "y") for i in range(7)]
     df = spark.createDataFrame(rows, "file_name string, row_no long, k string")
