@@ -121,6 +121,15 @@ def test_numbers_of_money_rows_are_those_of_the_register(spark, tmp_path):
     assert sorted(got.select(*keys).collect(), key=str) == sorted(want.select(*keys).collect(), key=str)
 
 
+def test_register_is_ordered_where_it_was_grouped(spark, tmp_path):
+    """Rows of the register's blocks are together already: no exchange comes between the grouping and windows by block."""
+    _line_items(spark, tmp_path)
+    marked = lineitem_outline(spark, str(tmp_path)).withColumn("above", F.lag("level").over(
+        Window.partitionBy("file_name", "k1", "k2", "b3").orderBy("k3", "k4", "k5")))
+    plan = marked._jdf.queryExecution().executedPlan().toString()
+    assert "Union" in plan and "Exchange" not in plan.split("Union")[0]
+
+
 def test_ordinal_with_null_keys(spark):
     rows = [(f, i, k) for f in ("a", None) for k in (None, "x", "y") for i in range(7)]
     df = spark.createDataFrame(rows, "file_name string, row_no long, k string")
