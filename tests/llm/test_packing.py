@@ -43,3 +43,18 @@ def test_odd_rows(spark, odd_docs, no_docs):
     texts = ["<|endoftext|>a", "It's  12 Ünïcödé x y", "é ΑΣ ΑΣ.", "\x1c a\x85b"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     check(df.collect(), P.pack(df, with_ids=True).collect())
+
+
+def test_words_of_latin_letters_go_to_the_model(monkeypatch):
+    ids = P.WordIds(P.tokenizer_path())
+    letters = [chr(c) for c in range(0xDF, 0x100)]
+    words = [f"{a}{b}{c}" for a in ["", "st", "é"] for b in letters for c in ["", "rue", "ñ", ".", ",%%%", "×!"]]
+    words += ["e\u0301te\u0301", "Été", "ÿ’s", "ø1", "ſtraße", "naïve-té", "É!!", "don't!!", "9$$$", "a1.###", "...", "a&&&b***", "x's.", "日本.", "Ã×."]
+    want = [ids._encode([w.encode()])[0] for w in words]
+    sent = []
+    real = ids._encode
+    monkeypatch.setattr(ids, "_encode", lambda w: sent.extend(w) or real(w))
+    ids.learn({w.encode() for w in words})
+    assert [ids[w.encode()] for w in words] == want
+    assert "straße".encode() not in sent and not any(P._LATIN.fullmatch(w) for w in sent)
+    assert "éen,%%%".encode() not in sent and P._stem("Onè,%%%".encode()) == ("onè".encode(), b",%%%")
