@@ -136,3 +136,41 @@ def test_ordinal_with_null_keys(spark):
     got = ordinal(df, "n", RowOrder(block_rows=3), ["k"], F.col("row_no") != 2)
     assert {(r.file_name, r.k, r.row_no, r.n) for r in got.collect()} == {
         (f, k, i, None if i == 2 else i + 1 - (i > 2)) for f, i, k in rows}
+
+
+def test_sums_of_more_than_18_digits(spark, tmp_path):
+    rows = [(1, 5, 1, 1.0, 9e15, "A", s) for s in "OOFF"] + [(2, 5, 1, 2.0, 1.5, "A", "O")]
+    spark.createDataFrame(rows, "l_orderkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, "
+                                "l_returnflag string, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.read.parquet(f"{tmp_path}/lineitem.parquet").createOrReplaceTempView("lineitem")
+    want, got = spark.sql(lineitem_outline_sql()), lineitem_outline(spark, str(tmp_path))
+    assert sorted(got.collect(), key=str) == sorted(want.collect(), key=str)
+    assert lineitem_money(spark, str(tmp_path)).where("wide IS NOT NULL").count() > 0
+
+
+def test_numbers_alone_need_no_sums(spark, tmp_path):
+    """A pass over places in the register (its header rows) makes no measures."""
+    _line_items(spark, tmp_path)
+    rows = [F.struct(F.col("q_dt").alias("x")), F.struct(F.col("q_kt").alias("x"))]
+    out = numbered(lineitem_money(spark, str(tmp_path), 8), [(F.lit(True), rows)])
+    plan = out.select("file_name", "row_no")._jdf.queryExecution().optimizedPlan().toString()
+    assert "q_dt" not in plan.split("Relation")[0] and "Generate" not in plan
+
+
+def test_a_register_writes_its_rows_of_money_once(spark, monkeypatch):
+    """Typed rows are deleted when they are ordered, leaves are read from the ordered rows."""
+    staged, stage = {}, balances.stage
+    monkeypatch.setattr(balances, "stage", lambda df, name: staged.setdefault(name, stage(df, name)))
+    sub = ["Дебет", "Кредит"] * 3
+    kind = balances.ACCOUNT_BALANCE["upp"]
+    titles = [x for t in kind.periods for x in (t, None)]
+    raw = [("a", 1, 0, ["Субконто", *titles]), ("a", 2, 0, [None, *sub]), ("a", 3, 0, ["60", *"123456"]), ("a", 4, 1, ["x", *"123456"]),
+           ("a", 5, 1, [None, *"000011"]), ("a", 6, 0, ["Итого", *"123456"])]
+    df = spark.createDataFrame([(f, n, lv, False, c) for f, n, lv, c in raw],
+                               "file_name string, row_no long, level int, italic boolean, cells array<string>")
+    flat, check, bad = balances.account_balance(df)
+    assert [(r["Субконто"], r["Level_0"], r["Level_1"], r["Дебет_конец"], r["Количество_Дебет_конец"]) for r in flat.collect()] == \
+        [("x", "60", "x", Decimal(5), Decimal(1))]
+    assert bad.count() == 0 and check.count() == 1
+    assert "leaves" not in staged and not spark._jvm.java.io.File(staged["rows"]._staged_path.removeprefix("file:")).exists()
+    assert not any(f.dataType.typeName() == "struct" for f in staged["kinds"].schema.fields)
