@@ -2,6 +2,8 @@
 
 from decimal import Decimal
 
+from pyspark.sql import functions as F
+
 from outline_ledger.constants import MEASURES, TURNOVER_UPP_RENAME
 from outline_ledger.operators.headers import column_order
 from outline_ledger.plans.registers import combine, general_balance, turnover_register
@@ -67,3 +69,17 @@ def test_combine(spark):
     b = spark.createDataFrame([("g", "60", 2)], "`Исх.файл` string, Level_0 string, `60_до` int")
     got = combine([a, b], ["Исх.файл"])
     assert got.columns == ["Исх.файл", "Level_0", "Level_1", "60_до", "z"] and got.count() == 2
+
+
+def test_rows_are_projected_once_and_not_read_for_absent_contra_columns(spark, monkeypatch):
+    from outline_ledger.plans import registers
+    staged, stage = [], registers.stage
+    monkeypatch.setattr(registers, "stage", lambda df, name: staged.append(name) or stage(df, name))
+    titles = ["Субконто", *registers.TURNOVER_UPP_RENAME]
+    rows = [("f", 1, 0, False, titles), ("f", 2, 0, False, ["60", *"123456"]), ("f", 3, 1, False, ["x", *"123456"]), ("f", 4, 0, False, ["Итого", *"123456"])]
+    raw = spark.createDataFrame(rows, SCHEMA)
+    flat, check, bad, contra = turnover_register(raw)
+    assert staged[:3] == ["headers", "projected", "depths"] and staged.count("projected") == 1
+    plan = registers.contra_long_raw(raw.withColumn("header_names", F.array(*[F.lit(t) for t in ("Субконто", *registers.MEASURES)])))
+    assert "Relation" not in plan._jdf.queryExecution().optimizedPlan().toString() and plan.count() == 0
+    assert [r["Субконто"] for r in flat.collect()] == ["x"] and contra.count() == 0 and bad.count() == 0
